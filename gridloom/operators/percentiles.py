@@ -1,0 +1,212 @@
+"""Exact percentiles of very large numeric columns by distributed multi-select.
+
+Each input partition keeps, per finest cell of the grouping columns, a sorted run of
+its values.  All requested percentiles of all grouping sets are then sought at once:
+in each round every run proposes the median of what it still has in a target's
+open range, the weighted median of the proposals becomes the target's pivot, the
+runs count the values below, at and above it, and the ruled-out part of the range is
+discarded.  A round at least removes a quarter of a target's candidates.  Once few
+enough are left they are fetched and the rank is read off, so the rank error is 0.
+
+The runs never move: only proposals and counts are shuffled, a few numbers per run and
+open target.  A run is no longer than one input partition, whatever the size of a
+group; a group that holds a third of all rows is simply spread over many runs.
+
+Results of days or partitions combine: :func:`equi_rank_summary` keeps, per group, K+1
+exact order statistics, and :func:`combine_summaries` merges any of them with a rank
+error of at most n/K.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridloom.shared import settle
+
+#: A target with at most so many candidates left is finished by sorting them.
+FINISH = 4096
+#: So many open targets at most are broadcast to the runs.
+BROADCAST = 20_000
+
+
+def sorted_runs(values: DataFrame, cell: Sequence[str], value: str = "value") -> DataFrame:
+    """One sorted run of finite-or-infinite values per input partition and cell (nulls and NaN are left out)."""
+    kept = values.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*cell, F.col(value).cast("double").alias("v"), F.spark_partition_id().alias("part"))
+    return kept.groupBy(*cell, "part").agg(F.sort_array(F.collect_list("v")).alias("run"))
+
+
+def _proposals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each run and open target (lo, hi, pivot): what lies below, at and above the pivot, and each side's own median."""
+    for frame in frames:
+        out: dict[str, list] = {k: [] for k in ("kind", "key", "q", "below", "equal", "above", "m_below", "m_above")}
+        for run, targets in zip(frame["run"], frame["targets"], strict=True):
+            run = np.asarray(run, dtype="float64")
+            lo, hi, pivot = (np.array([t[c] for t in targets], dtype="float64") for c in ("lo", "hi", "pivot"))
+            # open range (lo, hi); its ends are ruled out except at the very start, where they are null
+            start = np.where(np.isnan(lo), 0, np.searchsorted(run, lo, "right"))
+            end = np.where(np.isnan(hi), len(run), np.searchsorted(run, hi, "left"))
+            a = np.clip(np.searchsorted(run, pivot, "left"), start, np.maximum(start, end))
+            b = np.clip(np.searchsorted(run, pivot, "right"), start, np.maximum(start, end))
+            end = np.maximum(end, start)
+            for i, t in enumerate(targets):
+                below, equal, above = a[i] - start[i], b[i] - a[i], end[i] - b[i]
+                if below + equal + above == 0:
+                    continue
+                out["kind"].append(t["kind"])
+                out["key"].append(t["key"])
+                out["q"].append(t["q"])
+                out["below"].append(int(below))
+                out["equal"].append(int(equal))
+                out["above"].append(int(above))
+                out["m_below"].append(float(run[start[i] + (below - 1) // 2]) if below else None)
+                out["m_above"].append(float(run[b[i] + (above - 1) // 2]) if above else None)
+        yield pd.DataFrame(out).astype({"below": "int64", "equal": "int64", "above": "int64"})
+
+
+_PROPOSAL = "kind int, key string, q double, below long, equal long, above long, m_below double, m_above double"
+
+
+def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The candidates a run still has for each target that is about to be finished (at most FINISH over all runs)."""
+    for frame in frames:
+        out: dict[str, list] = {k: [] for k in ("kind", "key", "q", "left")}
+        for run, targets in zip(frame["run"], frame["targets"], strict=True):
+            run = np.asarray(run, dtype="float64")
+            for t in targets:
+                start = 0 if t["lo"] is None or np.isnan(t["lo"]) else np.searchsorted(run, t["lo"], "right")
+                end = len(run) if t["hi"] is None or np.isnan(t["hi"]) else np.searchsorted(run, t["hi"], "left")
+                if end > start:
+                    for k in ("kind", "key", "q"):
+                        out[k].append(t[k])
+                    out["left"].append(run[start:end])
+        yield pd.DataFrame(out)
+
+
+def _weighted_median(weight: str, value: str, proposals: DataFrame) -> DataFrame:
+    """Per target, the smallest proposal at which half of the weight is reached."""
+    group = ["kind", "key", "q"]
+    rows = proposals.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("m")).agg(F.sum(weight).alias("w"))
+    over = Window.partitionBy(*group)
+    ranked = rows.select(*group, "m", F.sum("w").over(over.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("w").over(over).alias("total"))
+    return ranked.where(F.col("c") * 2 >= F.col("total")).groupBy(*group).agg(F.min("m").alias(f"{value}_pivot"))
+
+
+def _with_targets(runs: DataFrame, sets: Sequence[Sequence[str]], open_targets: DataFrame, n_open: int) -> DataFrame:
+    """Each run with the open targets of all its groups; runs without any are left out.
+
+    Up to BROADCAST targets (some 100 bytes each) go to the runs; beyond that both
+    sides are shuffled on the group.
+    """
+    packed = open_targets.groupBy("kind", "key").agg(F.collect_list(F.struct("kind", "key", "q", "lo", "hi", "pivot")).alias("t"))
+    out = runs
+    for kind, keys in enumerate(sets):
+        mine = packed.where(F.col("kind") == kind).select(F.col("key").alias(f"__k{kind}"), F.col("t").alias(f"__t{kind}"))
+        mine = F.broadcast(mine) if n_open <= BROADCAST else mine
+        out = out.withColumn(f"__k{kind}", _key(keys)).join(mine, f"__k{kind}", "left")
+    targets = F.concat(*[F.coalesce(F.col(f"__t{k}"), F.expr("array()").cast(packed.schema["t"].dataType)) for k in range(len(sets))])
+    return out.select("run", targets.alias("targets")).where(F.size("targets") > 0)
+
+
+def _key(keys: Sequence[str]):
+    """A group's columns as one text that tells null from any value."""
+    return F.to_json(F.struct(*[F.col(k).cast("string").alias(f"c{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})
+
+
+def grouped_percentiles(values: DataFrame, sets: Sequence[Sequence[str]], probabilities: Sequence[float], value: str = "value", finish: int = FINISH) -> DataFrame:
+    """Exact percentiles (the value of rank ceil(q*n), 1 at least) for each group of each grouping set.
+
+    Returns ``kind`` (position in ``sets``), one string column per grouping column (null
+    where it is not part of the set or is itself null), ``q``, ``n`` and ``value``.  Nulls and
+    NaN are not counted; a group without any number gives no row.  Ties and
+    repeated rows count as often as they occur; infinite values sort to the ends.
+    """
+    cell = list(dict.fromkeys(k for keys in sets for k in keys))
+    runs = settle(sorted_runs(values.select(*cell, F.col(value).alias("value")), cell))
+    first = None
+    for kind, keys in enumerate(sets):
+        size = F.size("run").cast("long")
+        middle = F.element_at("run", ((F.size("run") + 1) / 2).cast("int"))
+        one = runs.select(F.lit(kind).alias("kind"), _key(keys).alias("key"), size.alias("w"), middle.alias("m"))
+        first = one if first is None else first.unionByName(one)
+    counts = first.groupBy("kind", "key").agg(F.sum("w").alias("n"))
+    pivots = _weighted_median("w", "m", first.withColumn("q", F.lit(0.0))).select("kind", "key", F.col("m_pivot").alias("pivot"))
+    state = counts.join(pivots, ["kind", "key"]).select("kind", "key", "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("q"), "pivot")
+    rank = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.round(F.col("q") * F.col("n"), 9)))).cast("long")
+    # rank: within the open range; left: candidates in it; found: the answer
+    nothing = F.lit(None).cast("double")
+    state = settle(state.select("kind", "key", "q", "n", rank.alias("rank"), F.col("n").alias("left"), nothing.alias("lo"), nothing.alias("hi"), "pivot", nothing.alias("found")))
+    active = state.where(F.col("found").isNull() & (F.col("left") > finish))
+    while n_open := active.count():
+        proposals = settle(_with_targets(runs, sets, active, n_open).mapInPandas(_proposals, _PROPOSAL))
+        group = ["kind", "key", "q"]
+        told = proposals.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("below", "equal", "above")])
+        told = told.join(_weighted_median("below", "m_below", proposals), group, "left").join(_weighted_median("above", "m_above", proposals), group, "left")
+        s = state.join(told, group, "left")
+        idle = F.col("below").isNull()
+        lower, hit = F.col("rank") <= F.col("below"), F.col("rank") <= F.col("below") + F.col("equal")
+        state = settle(
+            s.select(
+                *group,
+                "n",
+                F.when(idle | lower, F.col("rank")).otherwise(F.col("rank") - F.col("below") - F.col("equal")).alias("rank"),
+                F.when(idle, F.col("left")).when(lower, F.col("below")).otherwise(F.col("above")).alias("left"),
+                F.when(idle | lower, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
+                F.when(idle | ~lower, F.col("hi")).otherwise(F.col("pivot")).alias("hi"),
+                F.when(idle, F.col("pivot")).when(lower, F.col("m_below_pivot")).otherwise(F.col("m_above_pivot")).alias("pivot"),
+                F.when(idle | lower, F.col("found")).when(hit, F.col("pivot")).otherwise(F.col("found")).alias("found"),
+            )
+        )
+        active = state.where(F.col("found").isNull() & (F.col("left") > finish))
+    rest = state.where(F.col("found").isNull())
+    few = _with_targets(runs, sets, rest, rest.count()).mapInPandas(_candidates, "kind int, key string, q double, left array<double>")
+    few = few.groupBy("kind", "key", "q").agg(F.sort_array(F.flatten(F.collect_list("left"))).alias("c"))
+    answers = rest.join(few, ["kind", "key", "q"]).select("kind", "key", "q", "n", F.element_at("c", F.col("rank").cast("int")).alias("value"))
+    answers = answers.unionByName(state.where(F.col("found").isNotNull()).select("kind", "key", "q", "n", F.col("found").alias("value")))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(map(len, sets)))])
+    parts = answers.withColumn("k", F.from_json("key", schema))
+    columns = []
+    for c in cell:
+        picked = None
+        for kind, keys in enumerate(sets):
+            if c in keys:
+                part = F.col(f"k.c{list(keys).index(c)}")
+                picked = F.when(F.col("kind") == kind, part) if picked is None else picked.when(F.col("kind") == kind, part)
+        columns.append(picked.alias(c))
+    return parts.select("kind", *columns, "q", "n", "value")
+
+
+def equi_rank_summary(values: DataFrame, keys: Sequence[str], parts: int, value: str = "value") -> DataFrame:
+    """Mergeable summary of each group: its exact order statistics at ranks ceil(i*n/parts), i = 1..parts, and its least value.
+
+    Returns the keys (as strings), ``n``, ``parts`` and ``points`` (parts + 1 sorted values).
+    """
+    grid = [i / parts for i in range(parts + 1)]
+    points = grouped_percentiles(values, [list(keys)], grid, value)
+    packed = points.groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("q", "value"))).alias("p"))
+    return packed.select(*keys, "n", F.lit(parts).alias("parts"), F.transform("p", lambda x: x["value"]).alias("points"))
+
+
+def combine_summaries(summaries: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Percentiles of the union of many summarised groups, from the summaries alone.
+
+    Each point i >= 1 of a summary stands for its n/parts values up to it.  The answer is
+    the smallest point at which the summed weight reaches q*n; its rank is off by at
+    most n/parts plus the number of summaries, given as ``rank_error``.
+    """
+    weighted = summaries.select(*keys, "n", "parts", F.posexplode("points").alias("i", "x")).where(F.col("i") > 0)
+    weighted = weighted.withColumn("w", F.col("n") / F.col("parts"))
+    points = weighted.groupBy(*keys, "x").agg(F.sum("w").alias("w"))
+    totals = summaries.groupBy(*keys).agg(F.sum("n").alias("n"), F.ceil(F.sum(F.col("n") / F.col("parts")) + F.count(F.lit(1))).alias("rank_error"))
+    over = Window.partitionBy(*keys)
+    running = points.withColumn("c", F.sum("w").over(over.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(over))
+    asked = running.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    # a tolerance for the rounding of the weights' sum
+    reached = asked.where(F.col("c") >= F.col("q") * F.col("all") - F.lit(1e-6)).groupBy(*keys, "q").agg(F.min("x").alias("value"))
+    condition = [reached[k].eqNullSafe(totals[k]) for k in keys]
+    return reached.join(totals, condition).select(*[reached[k] for k in keys], "q", totals["n"], "value", "rank_error")
