@@ -23,14 +23,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.shared import settle
 
 #: A target with at most so many candidates left is finished by sorting them.
-FINISH = 4096
+FINISH = 32_768
 #: So many open targets at most are broadcast to the runs.
 BROADCAST = 20_000
 
@@ -88,16 +88,16 @@ def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out)
 
 
-def _weighted_median(weight: str, value: str, proposals: DataFrame) -> DataFrame:
-    """Per target, the smallest proposal at which half of the weight is reached."""
-    group = ["kind", "key", "q"]
-    rows = proposals.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("m")).agg(F.sum(weight).alias("w"))
-    over = Window.partitionBy(*group)
-    ranked = rows.select(*group, "m", F.sum("w").over(over.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("w").over(over).alias("total"))
-    return ranked.where(F.col("c") * 2 >= F.col("total")).groupBy(*group).agg(F.min("m").alias(f"{value}_pivot"))
+def _weighted_median(proposals: Column) -> Column:
+    """Of a list of (proposal, weight), the smallest proposal at which half of the weight is reached; null if there is none."""
+    given = F.array_sort(F.filter(proposals, lambda p: p["m"].isNotNull()))
+    weight = F.aggregate(given, F.lit(0).cast("long"), lambda total, p: total + p["w"])
+    start = F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("m"))
+    step = lambda at, p: F.struct((at["c"] + p["w"]).alias("c"), F.when(at["m"].isNull() & ((at["c"] + p["w"]) * 2 >= weight), p["m"]).otherwise(at["m"]).alias("m"))
+    return F.aggregate(given, start, step)["m"]
 
 
-def _with_targets(runs: DataFrame, sets: Sequence[Sequence[str]], open_targets: DataFrame, n_open: int) -> DataFrame:
+def _with_targets(runs: DataFrame, n_sets: int, open_targets: DataFrame, n_open: int) -> DataFrame:
     """Each run with the open targets of all its groups; runs without any are left out.
 
     Up to BROADCAST targets (some 100 bytes each) go to the runs; beyond that both
@@ -105,11 +105,10 @@ def _with_targets(runs: DataFrame, sets: Sequence[Sequence[str]], open_targets:
     """
     packed = open_targets.groupBy("kind", "key").agg(F.collect_list(F.struct("kind", "key", "q", "lo", "hi", "pivot")).alias("t"))
     out = runs
-    for kind, keys in enumerate(sets):
-        mine = packed.where(F.col("kind") == kind).select(F.col("key").alias(f"__k{kind}"), F.col("t").alias(f"__t{kind}"))
-        mine = F.broadcast(mine) if n_open <= BROADCAST else mine
-        out = out.withColumn(f"__k{kind}", _key(keys)).join(mine, f"__k{kind}", "left")
-    targets = F.concat(*[F.coalesce(F.col(f"__t{k}"), F.expr("array()").cast(packed.schema["t"].dataType)) for k in range(len(sets))])
+    for kind in range(n_sets):
+        mine = packed.where(F.col("kind") == kind).select(F.col("key").alias(f"k{kind}"), F.col("t").alias(f"t{kind}"))
+        out = out.join(F.broadcast(mine) if n_open <= BROADCAST else mine, f"k{kind}", "left")
+    targets = F.concat(*[F.coalesce(F.col(f"t{k}"), F.expr("array()").cast(packed.schema["t"].dataType)) for k in range(n_sets)])
     return out.select("run", targets.alias("targets")).where(F.size("targets") > 0)
 
 
@@ -127,44 +126,44 @@ def grouped_percentiles(values: DataFrame, sets: Sequence[Sequence[str]], probab
     repeated rows count as often as they occur; infinite values sort to the ends.
     """
     cell = list(dict.fromkeys(k for keys in sets for k in keys))
-    runs = settle(sorted_runs(values.select(*cell, F.col(value).alias("value")), cell))
-    first = None
-    for kind, keys in enumerate(sets):
-        size = F.size("run").cast("long")
-        middle = F.element_at("run", ((F.size("run") + 1) / 2).cast("int"))
-        one = runs.select(F.lit(kind).alias("kind"), _key(keys).alias("key"), size.alias("w"), middle.alias("m"))
-        first = one if first is None else first.unionByName(one)
-    counts = first.groupBy("kind", "key").agg(F.sum("w").alias("n"))
-    pivots = _weighted_median("w", "m", first.withColumn("q", F.lit(0.0))).select("kind", "key", F.col("m_pivot").alias("pivot"))
-    state = counts.join(pivots, ["kind", "key"]).select("kind", "key", "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("q"), "pivot")
+    group = ["kind", "key", "q"]
+    runs = sorted_runs(values.select(*cell, F.col(value).alias("value")), cell)
+    runs = settle(runs.select("run", *[_key(keys).alias(f"k{kind}") for kind, keys in enumerate(sets)]))
+    middle = F.element_at("run", ((F.size("run") + 1) / 2).cast("int"))
+    every = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"k{kind}").alias("key")) for kind in range(len(sets))])
+    first = runs.select(F.size("run").cast("long").alias("w"), middle.alias("m"), F.inline(every))
+    counts = first.groupBy("kind", "key").agg(F.sum("w").alias("n"), F.collect_list(F.struct("m", "w")).alias("p"))
+    counts = counts.select("kind", "key", "n", _weighted_median(F.col("p")).alias("pivot"))
+    state = counts.select("kind", "key", "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("q"), "pivot")
     rank = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.round(F.col("q") * F.col("n"), 9)))).cast("long")
     # rank: within the open range; left: candidates in it; found: the answer
     nothing = F.lit(None).cast("double")
-    state = settle(state.select("kind", "key", "q", "n", rank.alias("rank"), F.col("n").alias("left"), nothing.alias("lo"), nothing.alias("hi"), "pivot", nothing.alias("found")))
+    state = settle(state.select(*group, "n", rank.alias("rank"), F.col("n").alias("left"), nothing.alias("lo"), nothing.alias("hi"), "pivot", nothing.alias("found")))
     active = state.where(F.col("found").isNull() & (F.col("left") > finish))
     while n_open := active.count():
-        proposals = settle(_with_targets(runs, sets, active, n_open).mapInPandas(_proposals, _PROPOSAL))
-        group = ["kind", "key", "q"]
-        told = proposals.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("below", "equal", "above")])
-        told = told.join(_weighted_median("below", "m_below", proposals), group, "left").join(_weighted_median("above", "m_above", proposals), group, "left")
-        s = state.join(told, group, "left")
+        proposals = _with_targets(runs, len(sets), active, n_open).mapInPandas(_proposals, _PROPOSAL)
+        told = proposals.groupBy(*group).agg(
+            *[F.sum(c).alias(c) for c in ("below", "equal", "above")],
+            F.collect_list(F.struct(F.col("m_below").alias("m"), F.col("below").alias("w"))).alias("p_below"),
+            F.collect_list(F.struct(F.col("m_above").alias("m"), F.col("above").alias("w"))).alias("p_above"),
+        )
         idle = F.col("below").isNull()
         lower, hit = F.col("rank") <= F.col("below"), F.col("rank") <= F.col("below") + F.col("equal")
         state = settle(
-            s.select(
+            state.join(told, group, "left").select(
                 *group,
                 "n",
                 F.when(idle | lower, F.col("rank")).otherwise(F.col("rank") - F.col("below") - F.col("equal")).alias("rank"),
                 F.when(idle, F.col("left")).when(lower, F.col("below")).otherwise(F.col("above")).alias("left"),
                 F.when(idle | lower, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
                 F.when(idle | ~lower, F.col("hi")).otherwise(F.col("pivot")).alias("hi"),
-                F.when(idle, F.col("pivot")).when(lower, F.col("m_below_pivot")).otherwise(F.col("m_above_pivot")).alias("pivot"),
+                F.when(idle, F.col("pivot")).otherwise(_weighted_median(F.when(lower, F.col("p_below")).otherwise(F.col("p_above")))).alias("pivot"),
                 F.when(idle | lower, F.col("found")).when(hit, F.col("pivot")).otherwise(F.col("found")).alias("found"),
             )
         )
         active = state.where(F.col("found").isNull() & (F.col("left") > finish))
     rest = state.where(F.col("found").isNull())
-    few = _with_targets(runs, sets, rest, rest.count()).mapInPandas(_candidates, "kind int, key string, q double, left array<double>")
+    few = _with_targets(runs, len(sets), rest, rest.count()).mapInPandas(_candidates, "kind int, key string, q double, left array<double>")
     few = few.groupBy("kind", "key", "q").agg(F.sort_array(F.flatten(F.collect_list("left"))).alias("c"))
     answers = rest.join(few, ["kind", "key", "q"]).select("kind", "key", "q", "n", F.element_at("c", F.col("rank").cast("int")).alias("value"))
     answers = answers.unionByName(state.where(F.col("found").isNotNull()).select("kind", "key", "q", "n", F.col("found").alias("value")))
