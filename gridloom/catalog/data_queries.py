@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.drift import long_table, schema_changes
 from gridloom.operators.percentiles import combine_summaries, equi_rank_summary, grouped_percentiles
 from gridloom.operators.regular_grid import missing_steps, regular_grid
 from gridloom.operators.spikes import implausible
@@ -59,6 +60,14 @@ def p3_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine_summaries(daily, ["__name__"], PROBABILITIES)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_changes(table(spark, sf_dir, "wide_files"), table(spark, sf_dir, "wide_records"))
+
+
+def p4_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_table(table(spark, sf_dir, "wide_files"), table(spark, sf_dir, "wide_records"))
+
+
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = evaluation(spark, sf_dir, "grid_10m")
     return regular_grid(table(spark, sf_dir, "instant_samples"), p["start_ns"], p["end_ns"], p["step_ns"], p["lookback_ns"])
@@ -79,6 +88,8 @@ QUERIES = {
     "p2_totals": p2_totals,
     "p3_percentiles": p3_percentiles,
     "p3_combined": p3_combined,
+    "p4_found": p4_found,
+    "p4_long": p4_long,
     "p5_found": p5_found,
     "p5_grid": p5_grid,
 }
