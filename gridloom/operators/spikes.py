@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.shared import nanoseconds
+
 DAY_NS = 86_400_000_000_000
 CELL_NS = 1_800_000_000_000
 CELLS = DAY_NS // CELL_NS
@@ -166,7 +168,7 @@ def prepared(samples: DataFrame, meta: DataFrame) -> DataFrame:
         hi = F.coalesce(hi, F.when(unit == name, F.lit(high).cast("double")))
     mode = F.when(F.col("kind") == "counter", COUNTER).when(unit == "seconds", LOG).otherwise(GAUGE)
     kinds = meta.select(F.col("`__name__`").alias("m"), mode.alias("mode"), lo.alias("lo"), hi.alias("hi")).dropDuplicates(["m"])
-    arrival = F.unix_micros(F.col("ingested_at").cast("timestamp")) * 1000
+    arrival = nanoseconds("ingested_at")
     time = F.col("timestamp_ns")
     credible = time.isNotNull() & (time > 0) & (arrival.isNull() | (time <= arrival + CLOCK_SLACK_NS))
     r = samples.select(

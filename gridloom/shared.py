@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +34,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pick(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Only the named columns, quoted, so that extra columns (whatever their names) never interfere."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
-def is_number(column: str):
-    """True where a double column holds neither null nor NaN."""
-    return F.col(column).isNotNull() & ~F.isnan(F.col(column))
+def nanoseconds(column: str):
+    """A timestamp column as ns since 1970, read as UTC whatever the session's time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ)) * 1000L")
