@@ -127,8 +127,9 @@ def grouped_percentiles(values: DataFrame, sets: Sequence[Sequence[str]], probab
     """
     cell = list(dict.fromkeys(k for keys in sets for k in keys))
     group = ["kind", "key", "q"]
-    runs = sorted_runs(values.select(*cell, F.col(value).alias("value")), cell)
-    runs = settle(runs.select("run", *[_key(keys).alias(f"k{kind}") for kind, keys in enumerate(sets)]))
+    inner = {c: f"cell{i}" for i, c in enumerate(cell)}  # the table's own names may be any
+    runs = sorted_runs(values.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], F.col(f"`{value}`").cast("double").alias("value")), list(inner.values()))
+    runs = settle(runs.select("run", *[_key([inner[k] for k in keys]).alias(f"k{kind}") for kind, keys in enumerate(sets)]))
     middle = F.element_at("run", ((F.size("run") + 1) / 2).cast("int"))
     every = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"k{kind}").alias("key")) for kind in range(len(sets))])
     first = runs.select(F.size("run").cast("long").alias("w"), middle.alias("m"), F.inline(every))
