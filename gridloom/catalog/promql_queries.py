@@ -240,7 +240,8 @@ _WIDE: dict[str, tuple[str, tuple[int, int, int], str]] = {
     "wide_increase": ("increase(event_count[12h])", GRID, windowed("event_count", "increase", 12 * HOUR)),
     "wide_sum": ("sum by (op) (event_count)", GRID, f"SELECT timestamp, op, value FROM ({aligned('event_count')}) q"),
 }
-_DIGITS = 7
+#: Values are compared to so many digits, moved off the ties of rounding, where the order of a sum decides.
+_DIGITS, _OFF_TIE = 5, 3.3e-7
 
 
 def _query(query: str, grid: tuple[int, int, int], make: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -248,10 +249,10 @@ def _query(query: str, grid: tuple[int, int, int], make: Callable) -> Callable[[
         engine = Engine(make(spark, sf_dir), LOOKBACK)
         frame = engine.instant_frame(query, grid[0]) if grid == AT else engine.range_frame(query, *grid)
         names = [x for x in frame.labels if x != "__name__"]
-        return frame.df.select("timestamp", *names, F.round("value", _DIGITS).alias("value"))
+        return frame.df.select("timestamp", *names, F.round(F.col("value") + F.lit(_OFF_TIE), _DIGITS).alias("value"))
 
     return run
 
 
 QUERIES = {name: _query(text, grid, source) for name, (text, grid, _) in _ENTRIES.items()} | {name: _query(text, grid, wide_source) for name, (text, grid, _) in _WIDE.items()}
-ORACLE = {name: f"SELECT * REPLACE (round(CAST(value AS DOUBLE), {_DIGITS}) AS value) FROM ({sql}) final" for name, (_, _, sql) in (_ENTRIES | _WIDE).items() if sql}
+ORACLE = {name: f"SELECT * REPLACE (round(CAST(value AS DOUBLE) + {_OFF_TIE}, {_DIGITS}) AS value) FROM ({sql}) final" for name, (_, _, sql) in (_ENTRIES | _WIDE).items() if sql}
