@@ -33,6 +33,8 @@ LINE_ODDS, BROKEN_ODDS = 3.0, 20.0
 MISREAD = frozenset("¢£€¥ßﬀﬁ")
 #: Log-odds by which Greek and Cyrillic words must read better.
 BETTER_ODDS = 10.0
+#: Log-odds of the distinct words of a document after a single-byte chain against those before that leave no doubt.
+PAGE_ODDS = 15.0
 SMOOTHING = 0.3
 #: Prior log-odds of a clean line.
 PRIOR = 5.0
@@ -134,11 +136,20 @@ def _bigrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _HASH[raw[at].astype(np.int32) * 256 + raw[at + 1]], line
 
 
+def _letters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed bigrams of characters, not bytes, with a non-ASCII one, and the number of the line each belongs to."""
+    code = np.frombuffer(("\n" + "\n".join(lines) + "\n").encode("utf-32-le", "replace"), dtype=np.uint32)
+    at = np.flatnonzero((code[:-1] > 127) | (code[1:] > 127))
+    line = np.cumsum(code == 10)[at + 1] - 1 - (code[at + 1] == 10)
+    return (((code[at].astype(np.uint64) << np.uint64(21) | code[at + 1]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int32), line
+
+
 class Classifier:
-    """Weights (BINS, classes) of a multinomial model; the first classes are clean text of each script."""
+    """Weights (BINS, classes) of a multinomial model; the first classes are clean text of each script, and ``letters``
+    (BINS, scripts) weighs the bigrams of their characters."""
 
-    def __init__(self, classes: list[tuple[str, Chain]], weights: np.ndarray):
-        self.classes, self.weights = classes, weights
+    def __init__(self, classes: list[tuple[str, Chain]], weights: np.ndarray, letters: np.ndarray):
+        self.classes, self.weights, self.letters = classes, weights, letters
         self.clean = np.array([not chain for _, chain in classes])
 
     @classmethod
@@ -154,7 +165,10 @@ class Classifier:
                 counts[:, k] = np.bincount(_bigrams(changed)[0], minlength=BINS) * (len(own) / max(len(made), 1))
         log = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * BINS)
         log[:, counts.sum(axis=0) == 0] = -20.0
-        return cls(classes, log.astype(np.float32))
+        clean = np.stack([np.bincount(_letters(lines.get(s) or [""])[0], minlength=BINS) for s in SCRIPTS], axis=1)
+        letters = np.log(clean + SMOOTHING) - np.log(clean.sum(axis=0) + SMOOTHING * BINS)
+        letters[:, clean.sum(axis=0) == 0] = -20.0
+        return cls(classes, log.astype(np.float32), letters.astype(np.float32))
 
     def scores(self, lines: list[str]) -> np.ndarray:
         """Log-likelihoods (lines, classes)."""
@@ -168,13 +182,27 @@ class Classifier:
             out[o[first]] += np.add.reduceat(w, first, axis=0)
         return out
 
-    def judge(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each line the log-odds of its likeliest chain against clean text, and that class."""
+    def gains(self, before: list[str], after: list[str], script: str) -> np.ndarray:
+        """By how much each line reads better as clean text after a single-byte chain: log-odds.  Such a chain puts one
+        character for another, so both have the same number of bigrams."""
+        if script in ("greek", "cyrillic"):  # chains that swap the cases are no evidence
+            before, after = [x.lower() for x in before], [x.lower() for x in after]
+        out = []
+        for lines in (before, after):
+            bins, owner = _letters(lines)
+            s = np.zeros((len(lines), len(SCRIPTS)), dtype=np.float64)
+            np.add.at(s, owner, self.letters[bins])
+            out.append(s.max(axis=1))
+        return out[1] - out[0]
+
+    def judge(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each line the log-odds of its likeliest chain against clean text, that class, and the log-odds of every
+        class without the prior."""
         s = self.scores(lines)
-        clean = s[:, self.clean].max(axis=1) + PRIOR
+        s -= s[:, self.clean].max(axis=1, keepdims=True)
         s[:, self.clean] = -np.inf
         best = s.argmax(axis=1)
-        return s[np.arange(len(lines)), best] - clean, best
+        return s[np.arange(len(lines)), best] - PRIOR, best, s
 
 
 def train_on(texts: list[str]) -> Classifier:
@@ -184,7 +212,7 @@ def train_on(texts: list[str]) -> Classifier:
     model = None
     for _ in range(2):
         if model is not None:
-            odds, _ = model.judge(lines)
+            odds, _, _ = model.judge(lines)
             lines = [x for x, o in zip(lines, odds, strict=True) if o < 0]
         by_script: dict[str, list[str]] = {s: [] for s in SCRIPTS}
         for x in lines:
@@ -267,7 +295,56 @@ def _mostly_utf8(line: str, read: str) -> bool:
     return sum(not c.isascii() for c in back) - wrong > wrong
 
 
-def decide(model: Classifier, lines: list[str], where: list[int], odd: list[str], odds: np.ndarray, best: np.ndarray) -> tuple[str, str, float, int, int] | None:
+def _mends(model: Classifier, odd: list[str], done: set[int], table: np.ndarray, script: str, chain: Chain) -> tuple[float, dict[int, str]] | None:
+    """What a single-byte chain mends in the lines of a document that aren't done: (log-odds of the chain over its
+    distinct words, lines put back); None if neither the words nor the odds speak for it.
+
+    A document is accepted if enough odd words become plain ones, or if its distinct words, marks and all, read so
+    much better that there is no doubt.
+    """
+    backs = {i: b for i, x in enumerate(odd) if i not in done and (b := restore(x, chain)) is not None and b != x}
+    if not backs:
+        return None
+    gains = dict(zip(backs, model.gains([odd[i] for i in backs], list(backs.values()), script), strict=True))
+    good: list[str] = []
+    mended: dict[int, str] = {}
+    pairs: dict[str, str] = {}
+    for i, back in backs.items():
+        words, bad = _read_better(model, odd[i], back, script) if script in ("greek", "cyrillic") else mended_words(odd[i], back)
+        if len(words) > bad:
+            good += words
+            mended[i] = back
+        if gains[i] > LINE_ODDS:
+            pairs |= _changed_words(odd[i], back)
+    weight = float(model.gains([" ".join(pairs)], [" ".join(pairs.values())], script)[0]) if pairs else 0.0
+    marks = {c for w in good for c in w if not c.isascii()}
+    broken = sum(_breaks(a, b) for a, b in pairs.items())
+    words_say = bool(marks - MISREAD) and (len(good) >= MENDED_ALIKE or (len(good) >= MENDED_WORDS and len(marks) >= 2))
+    words_say = words_say and sum(gains[i] for i in mended) > 0
+    if not (words_say or (weight > PAGE_ODDS and broken * 4 <= len(pairs))):
+        return None
+    mended |= {i: backs[i] for i in backs if gains[i] > LINE_ODDS}
+    return max(weight, float(sum(table[i, model.classes.index((script, chain))] for i in mended))), mended
+
+
+def _changed_words(before: str, after: str) -> dict[str, str]:
+    """The words of a line that a chain changes, but for rules, no-break spaces and those that misread letters explain."""
+    pairs = zip(before.split(" "), after.split(" "), strict=False)
+    return {a: b for a, b in pairs if a != b and "\xa0" not in a and not _RULES.search(b) and {c for c in a if not c.isascii()} - MISREAD}
+
+
+def _breaks(before: str, after: str) -> bool:
+    """Whether a word that text has as it stands would get an odd form, or letters for its marks."""
+    if any(c.isalpha() for c in before) and not _plain_word(_core(before)):
+        return False
+    return sum(c.isalpha() for c in after) > sum(c.isalpha() for c in before) or (after.upper() != after.lower() and not _plain_word(_core(after)))
+
+
+#: Lines of boxes and control characters: no part of running text.
+_RULES = re.compile("[\u2500-\u259f\x00-\x08\x0e-\x1f\x7f-\x9f]")
+
+
+def decide(model: Classifier, lines: list[str], where: list[int], odd: list[str], odds: np.ndarray, best: np.ndarray, table: np.ndarray) -> tuple[str, str, float, int, int] | None:
     """What befell a text: (chain, restored text, log-odds, garbled lines, restored lines); None if nothing did.
 
     A line of a UTF-8 chain counts if it inverts strictly, or if its odds leave no doubt.  The odd characters of
@@ -295,23 +372,12 @@ def decide(model: Classifier, lines: list[str], where: list[int], odd: list[str]
             garbled.add(int(i))
             votes[chain] = votes.get(chain, 0.0) + float(odds[i])
     for script, chain in sorted(single, key=single.__getitem__, reverse=True)[:3]:
-        good, mended = [], {}
-        for i, line in enumerate(odd):
-            if i in garbled:
-                continue
-            back = restore(line, chain)
-            if back is None or back == line:
-                continue
-            words, bad = _read_better(model, line, back, script) if script in ("greek", "cyrillic") else mended_words(line, back)
-            if len(words) > bad:
-                good += words
-                mended[i] = back
-        marks = {c for w in good for c in w if not c.isascii()}
-        sure = bool(marks - MISREAD)
-        if sure and (len(good) >= MENDED_ALIKE or (len(good) >= MENDED_WORDS and len(marks) >= 2)):
+        found = _mends(model, odd, garbled, table, script, chain)
+        if found:
+            weight, mended = found
             fixed |= mended
             garbled |= set(mended)
-            votes[chain] = votes.get(chain, 0.0) + single[script, chain]
+            votes[chain] = votes.get(chain, 0.0) + weight
             break
     if not garbled:
         return None
@@ -348,7 +414,7 @@ def garbled_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     share = min(1.0, SAMPLE_DOCUMENTS / max(n, 1))
     sample = documents.where(F.col(f"`{text}`").isNotNull() & (F.pmod(F.xxhash64(f"`{key}`"), F.lit(1_000_000)) < int(share * 1_000_000))).select(f"`{text}`").limit(2 * SAMPLE_DOCUMENTS)
     model = train_on([r[0] for r in sample.toLocalIterator()])
-    sent = spark.sparkContext.broadcast((model.classes, model.weights))
+    sent = spark.sparkContext.broadcast((model.classes, model.weights, model.letters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(*sent.value)
@@ -376,8 +442,8 @@ def _inspect_many(model: Classifier, texts: list[str]):
         odd = [lines[k].rstrip("\r") for k in where]
         parts.append((i, lines, where, odd, len(all_odd)))
         all_odd += odd
-    odds, best = model.judge(all_odd)
+    odds, best, table = model.judge(all_odd)
     for i, lines, where, odd, at in parts:
-        found = decide(model, lines, where, odd, odds[at : at + len(odd)], best[at : at + len(odd)])
+        found = decide(model, lines, where, odd, odds[at : at + len(odd)], best[at : at + len(odd)], table[at : at + len(odd)])
         if found:
             yield i, found

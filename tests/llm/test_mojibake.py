@@ -71,3 +71,23 @@ def test_single_lines_and_edges(model, spark):
     assert one["restored"].split("\r\n")[4] == "für die Straße vor dem café" and one["restored_lines"] == 1
     assert garbled_documents(docs.limit(0)).count() == 0
     assert isinstance(model, Classifier)
+
+
+QUOTED = "“The town’s market opened” — near the façade. “No cargo” was lost — the town’s school received “every letter” £ 3".split()
+
+
+@pytest.fixture(scope="module")
+def quoted():
+    """A model of English pages, and such pages: few words have letters beyond ASCII, most signs are marks."""
+    rng = random.Random(5)
+    made = lambda: "\n".join(" ".join(rng.choice(QUOTED) for _ in range(8)) for _ in range(12))
+    return train_on([made() for _ in range(300)] + [page(rng, s) for s in WORDS for _ in range(80)]), [made() for _ in range(40)]
+
+
+def test_few_words_decide(quoted):
+    model, clean = quoted
+    assert not list(_inspect_many(model, clean))
+    chain = (("cp1252", "cp850"),)
+    lines = ["The town’s market opened", "near the façade. “No cargo”", "plain words between", "THE TOWN’S SCHOOL"]
+    hit = list(_inspect_many(model, ["\n".join(garble(x, chain) for x in lines)]))
+    assert hit and hit[0][1][0] == "cp1252>cp850"
