@@ -323,7 +323,11 @@ def _mends(model: Classifier, odd: list[str], done: set[int], table: np.ndarray,
     words_say = words_say and sum(gains[i] for i in mended) > 0
     if not (words_say or (weight > PAGE_ODDS and broken * 4 <= len(pairs))):
         return None
-    mended |= {i: backs[i] for i in backs if gains[i] > LINE_ODDS}
+    for i, back in backs.items():
+        if i not in mended and gains[i] > 0 and not _RULES.search(back):
+            own = _changed_words(odd[i], back)
+            if own and sum(_breaks(a, b) for a, b in own.items()) * 2 <= len(own):
+                mended[i] = back
     return max(weight, float(sum(table[i, model.classes.index((script, chain))] for i in mended))), mended
 
 

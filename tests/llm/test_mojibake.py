@@ -91,3 +91,15 @@ def test_few_words_decide(quoted):
     lines = ["The town’s market opened", "near the façade. “No cargo”", "plain words between", "THE TOWN’S SCHOOL"]
     hit = list(_inspect_many(model, ["\n".join(garble(x, chain) for x in lines)]))
     assert hit and hit[0][1][0] == "cp1252>cp850"
+
+
+def test_letters_for_letters_and_every_line_of_a_found_page(model, quoted):
+    rng = random.Random(6)
+    chain = (("cp1252", "cp1250"),)
+    text = "\n".join("não coração à forêt irmão mañana señor år på".split()[i % 9] + " the wheat l’été não irmão" for i in range(12))
+    hit = list(_inspect_many(model, ["\n".join(garble(x, chain) for x in text.split("\n"))]))
+    assert hit and hit[0][1][1] == text
+    chain = (("cp1252", "mac_roman"),)
+    lines = ["near the façade. “No cargo”", "the town’s school", "The town’s façade — opened", "the façade of the town’s market", "“every letter” near the façade"]
+    hit = list(_inspect_many(quoted[0], ["\n".join(garble(x, chain) for x in lines)]))
+    assert hit and hit[0][1][1].split("\n") == lines and rng
