@@ -375,14 +375,15 @@ def decide(model: Classifier, lines: list[str], where: list[int], odd: list[str]
         if i in fixed or (odds[i] > BROKEN_ODDS and _mostly_utf8(odd[i], chain[-1][1])):
             garbled.add(int(i))
             votes[chain] = votes.get(chain, 0.0) + float(odds[i])
-    for script, chain in sorted(single, key=single.__getitem__, reverse=True)[:3]:
-        found = _mends(model, odd, garbled, table, script, chain)
-        if found:
-            weight, mended = found
-            fixed |= mended
-            garbled |= set(mended)
-            votes[chain] = votes.get(chain, 0.0) + weight
+    while single:  # every chain with a vote; the one with the most evidence, then what is left goes to the next
+        found = [(*f, script, chain) for script, chain in single if (f := _mends(model, odd, garbled, table, script, chain))]
+        if not found:
             break
+        weight, mended, script, chain = max(found, key=lambda f: f[0])
+        fixed |= mended
+        garbled |= set(mended)
+        votes[chain] = votes.get(chain, 0.0) + weight
+        del single[script, chain]
     if not garbled:
         return None
     chain = max(votes, key=votes.__getitem__) if votes else None

@@ -103,3 +103,13 @@ def test_letters_for_letters_and_every_line_of_a_found_page(model, quoted):
     lines = ["near the façade. “No cargo”", "the town’s school", "The town’s façade — opened", "the façade of the town’s market", "“every letter” near the façade"]
     hit = list(_inspect_many(quoted[0], ["\n".join(garble(x, chain) for x in lines)]))
     assert hit and hit[0][1][1].split("\n") == lines and rng
+
+
+def test_two_single_byte_chains_in_a_page(model):
+    rng = random.Random(7)
+    text = page(rng, "western", 16).split("\n")
+    text = [x for x in text if not x.startswith(("├", "|", "«"))]
+    made = [garble(x, (("cp1252", "cp850" if i % 2 else "mac_roman"),)) for i, x in enumerate(text)]
+    hit = list(_inspect_many(model, ["\n".join(made)]))
+    wrong = [x for x, y in zip(hit[0][1][1].split("\n"), text, strict=True) if x != y]
+    assert len(wrong) <= 2
