@@ -66,6 +66,12 @@ def _tables(name: str) -> tuple[dict[int, str], dict[int, str]]:
     return decode, encode | {ord(decode[b]): chr(b) for b in range(255, -1, -1)}
 
 
+@cache
+def _undefined(name: str) -> bytes:
+    """The bytes an encoding has no character for."""
+    return bytes(b for b in range(256) if not bytes([b]).decode(name, "ignore"))
+
+
 def decode_as(raw: bytes, name: str) -> str:
     return raw.decode("latin-1").translate(_tables(name)[0])
 
@@ -107,10 +113,15 @@ def restore(text: str, chain: Chain) -> str | None:
             raw = out.encode("latin-1") if read == "latin-1" else encode_as(out, read)
             if raw is None:
                 return None
-            out = raw.decode() if stored == "utf-8" else decode_as(raw, stored)
+            if stored == "utf-8":
+                out = raw.decode()
+            elif raw.translate(None, _undefined(stored)) != raw:
+                return None
+            else:
+                out = decode_as(raw, stored)
         except UnicodeError:
             return None
-    return out
+    return out if garble(out, chain) == text else None
 
 
 def script_of(line: str) -> str:
@@ -328,6 +339,8 @@ def _mends(model: Classifier, odd: list[str], done: set[int], table: np.ndarray,
             own = _changed_words(odd[i], back)
             if own and sum(_breaks(a, b) for a, b in own.items()) * 2 <= len(own):
                 mended[i] = back
+    if not mended:
+        return None
     return max(weight, float(sum(table[i, model.classes.index((script, chain))] for i in mended))), mended
 
 
@@ -354,42 +367,68 @@ def decide(model: Classifier, lines: list[str], where: list[int], odd: list[str]
     A line of a UTF-8 chain counts if it inverts strictly, or if its odds leave no doubt.  The odd characters of
     single-byte chains also occur in clean text, so such a chain must mend words all over the document.
     """
-    lost = np.array(["�" in x for x in odd], dtype=bool)
-    suspect = odds > LINE_ODDS
-    if not (suspect.any() or lost.any()):
+    lost = {i for i, x in enumerate(odd) if "�" in x}
+    odds, best, table = odds.copy(), best.copy(), table.copy()
+    todo = np.flatnonzero(odds > LINE_ODDS).tolist()
+    if not (todo or lost):
         return None
-    fixed: dict[int, str] = {}
-    garbled = set(np.flatnonzero(lost).tolist())
-    votes: dict[Chain, float] = {}
-    single: dict[tuple[str, Chain], float] = {}
-    for i in np.flatnonzero(suspect):
-        script, chain = model.classes[best[i]]
-        if chain[0][0] != "utf-8":
-            single[script, chain] = single.get((script, chain), 0.0) + float(odds[i])
-            continue
-        for c in dict.fromkeys([chain, *_KIN.get(chain, ())]):  # chains that give the same line are told apart by which of them inverts
-            back = restore(odd[i], c)
-            if back is not None and back != odd[i]:
-                fixed[i] = back
-                break
-        if i in fixed or (odds[i] > BROKEN_ODDS and _mostly_utf8(odd[i], chain[-1][1])):
-            garbled.add(int(i))
-            votes[chain] = votes.get(chain, 0.0) + float(odds[i])
-    while single:  # every chain with a vote; the one with the most evidence, then what is left goes to the next
-        found = [(*f, script, chain) for script, chain in single if (f := _mends(model, odd, garbled, table, script, chain))]
+    text = list(odd)  # each line as far as it is put back
+    undone: dict[int, Chain] = {}  # what was undone in it, innermost first
+    weights: dict[int, float] = {}
+    broken: dict[int, Chain] = {}  # lines of a UTF-8 chain that doesn't invert
+    turned: set[int] = set()  # lines of which a single-byte chain was undone
+
+    def undo(i: int, back: str, chain: Chain, weight: float) -> None:
+        text[i], undone[i], weights[i] = back, chain + undone.get(i, ()), weights.get(i, 0.0) + weight
+
+    def again(changed: list[int]) -> list[int]:
+        """The lines among those changed that still don't read as clean text."""
+        if changed:
+            odds[changed], best[changed], table[changed] = model.judge([text[i] for i in changed])
+        return [i for i in changed if odds[i] > LINE_ODDS]
+
+    while True:
+        while todo:  # every inversion of UTF-8 shortens the line
+            changed = []
+            for i in todo:
+                chain = model.classes[best[i]][1]
+                if chain[0][0] != "utf-8":
+                    continue
+                for c in dict.fromkeys([chain, *_KIN.get(chain, ())]):  # chains that give the same line are told apart by which of them inverts
+                    back = restore(text[i], c)
+                    if back is not None and back != text[i]:
+                        undo(i, back, c, float(odds[i]))
+                        changed.append(i)
+                        break
+                else:
+                    if odds[i] > BROKEN_ODDS and _mostly_utf8(text[i], chain[-1][1]):
+                        broken[i] = chain
+                        weights[i] = weights.get(i, 0.0) + float(odds[i])
+            todo = again(changed)
+        # of the single-byte chains with a vote, the one with the most evidence; what is left goes to the next
+        done = lost | turned | set(broken)
+        voted = {model.classes[best[i]] for i in np.flatnonzero(odds > LINE_ODDS) if i not in done}
+        found = [(*f, chain) for script, chain in sorted(voted) if chain[0][0] != "utf-8" and (f := _mends(model, text, done, table, script, chain))]
         if not found:
             break
-        weight, mended, script, chain = max(found, key=lambda f: f[0])
-        fixed |= mended
-        garbled |= set(mended)
-        votes[chain] = votes.get(chain, 0.0) + weight
-        del single[script, chain]
+        weight, mended, chain = max(found, key=lambda f: f[0])
+        for i, back in mended.items():
+            undo(i, back, chain, weight / len(mended))
+        turned |= set(mended)
+        todo = again(list(mended))
+    garbled = lost | set(broken) | set(undone)
     if not garbled:
         return None
+    # a line that is still garbled, or from which no way leads back, stays as it is
+    fixed = [i for i, chain in undone.items() if i not in broken and garble(text[i], chain) == odd[i]]
+    votes: dict[Chain, float] = {}
+    for i in undone | broken:
+        chain = broken.get(i, ()) + undone.get(i, ())
+        votes[chain] = votes.get(chain, 0.0) + weights[i]
     chain = max(votes, key=votes.__getitem__) if votes else None
     out = list(lines)
-    for i, back in fixed.items():
-        out[where[i]] = back + ("\r" if lines[where[i]].endswith("\r") else "")
+    for i in fixed:
+        out[where[i]] = text[i] + ("\r" if lines[where[i]].endswith("\r") else "")
     name = "+".join(f"{a}>{b}" for a, b in chain) if chain else LOSSY
     return name, "\n".join(out), float(sum(votes.values())), len(garbled), len(fixed)
 
