@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -219,7 +220,8 @@ class Classifier:
 def train_on(texts: list[str]) -> Classifier:
     """A classifier from sample texts, most of which are clean: in a second turn, lines the first one calls garbled are left out."""
     seen = {line.strip("\r") for t in texts for line in t.split("\n") if not line.isascii()}
-    lines = sorted(x for x in seen if "�" not in x and not any(_strictly_utf8(x, w) for w in UTF8_MISTAKEN))
+    lines = [x for x in seen if "�" not in x and not any(_strictly_utf8(x, w) for w in UTF8_MISTAKEN)]
+    lines.sort(key=lambda x: (zlib.crc32(x.encode()), x))  # the cut at SAMPLE_LINES is to be a sample, not a prefix of the alphabet
     model = None
     for _ in range(2):
         if model is not None:

@@ -175,3 +175,11 @@ def test_repeated_chains_and_strictness(model):
         assert hit and hit[0][1][1] == text and hit[0][1][4] == 1, chain
         assert hit[0][1][0] == "+".join(f"{a}>{b}" for a, b in chain)
     assert restore("aü", (("cp1252", "cp850"),)) is None  # byte 81 is no character of cp1252
+
+
+def test_the_sample_is_no_prefix(monkeypatch):
+    seen = []
+    monkeypatch.setattr("gridloom.llm.mojibake.SAMPLE_LINES", 50)
+    monkeypatch.setattr(Classifier, "train", classmethod(lambda cls, lines, train=Classifier.train: seen.append(lines) or train(lines)))
+    train_on([f"{c}{k} café" for c in "abcdefghijklmnopqrstuvwxyz" for k in range(20)])
+    assert len(seen[0]["western"]) == 50 and len({x[0] for x in seen[0]["western"]}) > 15
