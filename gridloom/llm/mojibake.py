@@ -3,8 +3,8 @@
 A multinomial classifier (naive Bayes with smoothed counts) over hashed byte bigrams predicts, line
 by line, the exact chain of encodings that garbled a line, or that none did.  It is trained on a
 bounded sample of the corpus's own lines, garbled synthetically by every chain that applies to their
-script.  The predicted chain is inverted, and the result kept only if it decodes strictly, garbles back
-to the very line and reads as clean text to the same classifier.
+script.  Predicted chains are inverted until the line no longer reads as garbled, and the result kept only
+if each step decodes strictly and the whole chain garbles it back to the very line.
 
 Only lines with non-ASCII characters are looked at: every chain leaves the others as they
 are.  Documents are rows of their own; nothing is shuffled, and the weights (a few MB, fixed by
@@ -396,8 +396,9 @@ def decide(model: Classifier, lines: list[str], where: list[int], odd: list[str]
                 chain = model.classes[best[i]][1]
                 if chain[0][0] != "utf-8":
                     continue
-                for c in dict.fromkeys([chain, *_KIN.get(chain, ())]):  # chains that give the same line are told apart by which of them inverts
-                    back = restore(text[i], c)
+                likely = (model.classes[k][1] for k in np.argsort(-table[i]) if table[i, k] > LINE_ODDS + PRIOR)
+                for c in dict.fromkeys([chain, *_KIN.get(chain, ()), *likely]):  # chains that give the same or a like line are told apart by which of them inverts
+                    back = restore(text[i], c) if c[0][0] == "utf-8" else None
                     if back is not None and back != text[i]:
                         undo(i, back, c, float(odds[i]))
                         changed.append(i)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from gridloom.llm.mojibake import Classifier, _inspect_many, chains_of, garble, garbled_documents, restore, script_of, train_on
+from gridloom.llm.mojibake import Classifier, _inspect_many, chains_of, decide, garble, garbled_documents, restore, script_of, train_on
 
 WORDS = {
     "western": "für Straße größer Mädchen café déjà forêt élève l’été façade señor corazón mañana não coração irmão över åka från the town’s market and house wheat".split(),
@@ -122,58 +122,11 @@ def test_repeated_chains_and_strictness(model):
         hit = list(_inspect_many(model, [garble(text, chain)]))
         assert hit and hit[0][1][1] == text and hit[0][1][4] == 1, chain
         assert hit[0][1][0] == "+".join(f"{a}>{b}" for a, b in chain)
-    assert restore("aü", (("cp1252", "cp850"),)) is None  # byte 81 is no character of cp1252
-
-
-QUOTED = "“The town’s market opened” — near the façade. “No cargo” was lost — the town’s school received “every letter” £ 3".split()
-
-
-@pytest.fixture(scope="module")
-def quoted():
-    """A model of English pages, and such pages: few words have letters beyond ASCII, most signs are marks."""
-    rng = random.Random(5)
-    made = lambda: "\n".join(" ".join(rng.choice(QUOTED) for _ in range(8)) for _ in range(12))
-    return train_on([made() for _ in range(300)] + [page(rng, s) for s in WORDS for _ in range(80)]), [made() for _ in range(40)]
-
-
-def test_few_words_decide(quoted):
-    model, clean = quoted
-    assert not list(_inspect_many(model, clean))
-    chain = (("cp1252", "cp850"),)
-    lines = ["The town’s market opened", "near the façade. “No cargo”", "plain words between", "THE TOWN’S SCHOOL"]
-    hit = list(_inspect_many(model, ["\n".join(garble(x, chain) for x in lines)]))
-    assert hit and hit[0][1][0] == "cp1252>cp850"
-
-
-def test_letters_for_letters_and_every_line_of_a_found_page(model, quoted):
-    rng = random.Random(6)
-    chain = (("cp1252", "cp1250"),)
-    text = "\n".join("não coração à forêt irmão mañana señor år på".split()[i % 9] + " the wheat l’été não irmão" for i in range(12))
-    hit = list(_inspect_many(model, ["\n".join(garble(x, chain) for x in text.split("\n"))]))
-    assert hit and hit[0][1][1] == text
-    chain = (("cp1252", "mac_roman"),)
-    lines = ["near the façade. “No cargo”", "the town’s school", "The town’s façade — opened", "the façade of the town’s market", "“every letter” near the façade"]
-    hit = list(_inspect_many(quoted[0], ["\n".join(garble(x, chain) for x in lines)]))
-    assert hit and hit[0][1][1].split("\n") == lines and rng
-
-
-def test_two_single_byte_chains_in_a_page(model):
-    rng = random.Random(7)
-    text = page(rng, "western", 16).split("\n")
-    text = [x for x in text if not x.startswith(("├", "|", "«"))]
-    made = [garble(x, (("cp1252", "cp850" if i % 2 else "mac_roman"),)) for i, x in enumerate(text)]
-    hit = list(_inspect_many(model, ["\n".join(made)]))
-    wrong = [x for x, y in zip(hit[0][1][1].split("\n"), text, strict=True) if x != y]
-    assert len(wrong) <= 2
-
-
-def test_repeated_chains_and_strictness(model):
-    line = "für die Straße vor dem café"
-    latin, windows = ("utf-8", "latin-1"), ("utf-8", "cp1252")
-    for text, chain in ((line, (latin,) * 3), (line, (windows,) * 3), (" ".join(WORDS["cyrillic"]), (("utf-8", "cp1251"),) * 2)):
-        hit = list(_inspect_many(model, [garble(text, chain)]))
-        assert hit and hit[0][1][1] == text and hit[0][1][4] == 1, chain
-        assert hit[0][1][0] == "+".join(f"{a}>{b}" for a, b in chain)
+    line, chain = "HO\u0308GA\u030aS VA\u0308SHO\u0308GTE DET A\u030aR", (("utf-8", "mac_roman"),)  # the likeliest class doesn't invert, the next one does
+    odd = [garble(line, chain)]
+    odds, best, table = model.judge(odd)
+    odds[0], best[0], table[0, model.classes.index(("western", chain))] = 40.0, model.classes.index(("western", (latin, latin))), 40.0
+    assert decide(model, odd, [0], odd, odds, best, table)[:2] == ("utf-8>mac_roman", line)
     assert restore("aü", (("cp1252", "cp850"),)) is None  # byte 81 is no character of cp1252
 
 
