@@ -6,16 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.drift import long_table, schema_changes
-from gridloom.operators.percentiles import combine_summaries, equi_rank_summary, grouped_percentiles
 from gridloom.operators.regular_grid import missing_steps, regular_grid
 from gridloom.operators.spikes import implausible
 from gridloom.operators.trailing import silent_windows, trailing_totals
 from gridloom.shared import table
 
-PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
-SUMMARY_PARTS = 200
-
-
 def evaluation(spark: SparkSession, sf_dir: str, name: str) -> dict[str, int]:
     """One row of eval_params (three rows, fixed) as a dictionary."""
     row = table(spark, sf_dir, "eval_params").where(F.col("eval_name") == name).first()
@@ -45,21 +40,6 @@ def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(spark, sf_dir).select("series_id", F.date_format("day", "yyyy-MM-dd").alias("day_utc"), "window_days", "n_samples", *rounded)
 
 
-def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "instant_samples").select("__name__", "job", "timestamp_ns", "value")
-    return r.withColumn("day", F.expr("CAST((timestamp_ns - pmod(timestamp_ns, 86400000000000L)) div 86400000000000L AS STRING)"))
-
-
-def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped_percentiles(_days(spark, sf_dir), [["__name__"], ["job"], ["day"]], PROBABILITIES)
-
-
-def p3_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per metric over all days, from one summary for each metric and day."""
-    daily = equi_rank_summary(_days(spark, sf_dir), ["__name__", "day"], SUMMARY_PARTS)
-    return combine_summaries(daily, ["__name__"], PROBABILITIES)
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "wide_files"), table(spark, sf_dir, "wide_records"))
 
@@ -86,8 +66,6 @@ QUERIES = {
     "p1_faults": p1_faults,
     "p2_found": p2_found,
     "p2_totals": p2_totals,
-    "p3_percentiles": p3_percentiles,
-    "p3_combined": p3_combined,
     "p4_found": p4_found,
     "p4_long": p4_long,
     "p5_found": p5_found,
@@ -129,14 +107,6 @@ ORACLE = {
     "p2_totals": _ACTIVE
     + """SELECT series_id, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day_utc, w AS window_days, CAST(n AS BIGINT) AS n_samples,
   round(CAST(total AS DOUBLE), 6) AS total, round(CASE WHEN n > 0 THEN total / n END, 6) AS average, round(total / w, 6) AS daily_average FROM rolled""",
-    "p3_percentiles": """
-WITH r AS (SELECT __name__, job, CAST(timestamp_ns // 86400000000000 AS VARCHAR) AS day, value FROM instant_samples WHERE value IS NOT NULL AND NOT isnan(value)),
-q AS (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]::DOUBLE[]) AS q),
-g AS (
-  SELECT 0 AS kind, __name__, NULL AS job, NULL AS day, value FROM r UNION ALL
-  SELECT 1, NULL, job, NULL, value FROM r UNION ALL SELECT 2, NULL, NULL, day, value FROM r),
-o AS (SELECT *, row_number() OVER (PARTITION BY kind, __name__, job, day ORDER BY value) AS i, count(*) OVER (PARTITION BY kind, __name__, job, day) AS n FROM g)
-SELECT CAST(kind AS INTEGER) AS kind, __name__, job, day, q, n, value FROM o, q WHERE i = greatest(1, least(n, ceil(round(q * n, 9))))""",
     "p5_found": _GRID + "SELECT series_id, t AS step_ts_ns FROM g, p WHERE ts IS NULL OR t - ts > lookback_ns",
     "p5_grid": _GRID
     + """SELECT series_id, t AS step_ts_ns, CASE WHEN t - ts <= lookback_ns THEN v END AS value, CASE WHEN t - ts <= lookback_ns THEN ts END AS reading_ts_ns,

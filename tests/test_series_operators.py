@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators.percentiles import combine_summaries, equi_rank_summary, grouped_percentiles
 from gridloom.operators.regular_grid import missing_steps, regular_grid
 from gridloom.operators.trailing import DAY_NS, doubling_windows, silent_windows, trailing_totals
 from gridloom.streaming.live import sliding
@@ -81,41 +80,6 @@ def test_regular_grid_against_plain_python(spark):
         regular_grid(df, 5, 300, 0, 15)
 
 
-def test_percentiles_against_sorting(spark):
-    rng = random.Random(3)
-    rows = []
-    for g, n in (("hot", 3000), ("b", 700), ("one", 1), (None, 30)):
-        for _ in range(n):
-            rows.append((g, rng.choice("xy"), rng.choice([rng.gauss(0, 1), 7.0, 7.0, None, float("nan"), math.inf]), "clash", 1))
-    rows.append(("void", "x", None, "clash", 1))
-    df = spark.createDataFrame(rows, "v string, part string, run double, kind string, n long").repartition(5)
-    probs = [0.0, 0.01, 0.5, 0.9, 1.0]
-    got = {(r["kind"], r["v"], r["part"], r["q"]): (r["n"], r["value"]) for r in grouped_percentiles(df, [["v"], ["part", "v"], []], probs, "run", finish=20).collect()}
-    want = {}
-    for kind, key in ((0, lambda r: (r[0], None)), (1, lambda r: (r[0], r[1])), (2, lambda r: (None, None))):
-        groups = {}
-        for r in rows:
-            if r[2] is not None and not math.isnan(r[2]):
-                groups.setdefault(key(r), []).append(r[2])
-        for (a, b), vs in groups.items():
-            vs.sort()
-            for q in probs:
-                want[kind, a, b, q] = (len(vs), vs[max(1, min(len(vs), math.ceil(round(q * len(vs), 9)))) - 1])
-    assert got == want
-    assert grouped_percentiles(df.limit(0), [["v"]], probs, "run").count() == 0
-
-
-def test_summaries_combine_within_the_stated_error(spark):
-    rng = random.Random(4)
-    rows = [("a" if rng.random() < 0.7 else "b", str(d), rng.lognormvariate(d, 1)) for d in range(4) for _ in range(800)]
-    df = spark.createDataFrame(rows, "name string, day string, value double")
-    daily = equi_rank_summary(df, ["name", "day"], 40)
-    for r in combine_summaries(daily, ["name"], [0.1, 0.5, 0.95]).collect():
-        vs = sorted(v for n, _, v in rows if n == r["name"])
-        assert r["n"] == len(vs) and r["rank_error"] <= len(vs) / 40 + 6
-        assert abs(vs.index(r["value"]) + 1 - r["q"] * len(vs)) <= r["rank_error"]
-
-
 def test_stream(spark, tmp_path):
     rows = [(dt.datetime(2025, 1, 1, 0, m), "a" if m % 2 else None, None if m == 3 else float(m)) for m in range(20)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, x string, value double")
