@@ -7,7 +7,7 @@ script.  Predicted chains are inverted until the line no longer reads as garbled
 if each step decodes strictly and the whole chain garbles it back to the very line.
 
 Only lines with non-ASCII characters are looked at: every chain leaves the others as they
-are.  Documents are rows of their own; nothing is shuffled, and the weights (a few MB, fixed by
+are.  The classes are counted as tasks of their own.  Documents are rows of their own; nothing is shuffled, and the weights (a few MB, fixed by
 the number of chains and BINS) are broadcast.
 """
 
@@ -16,12 +16,12 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bound of the training sample: documents, and lines of each script.
@@ -125,13 +125,16 @@ def restore(text: str, chain: Chain) -> str | None:
     return out if garble(out, chain) == text else None
 
 
+_GREEK, _CYRILLIC, _POLISH = (re.compile(x) for x in ("[\u0370-\u03ff]", "[\u0400-\u052f]", "[ąćęłńśźżĄĆĘŁŃŚŹŻ]"))
+
+
 def script_of(line: str) -> str:
     """The script a line's letters suggest."""
-    if any("Ͱ" <= c < "Ѐ" for c in line):
+    if _GREEK.search(line):
         return "greek"
-    if any("Ѐ" <= c < "԰" for c in line):
+    if _CYRILLIC.search(line):
         return "cyrillic"
-    return "polish" if any(c in "ąćęłńśźżĄĆĘŁŃŚŹŻ" for c in line) else "western"
+    return "polish" if _POLISH.search(line) else "western"
 
 
 # -- features -----------------------------------------------------------------------------
@@ -156,6 +159,45 @@ def _letters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (((code[at].astype(np.uint64) << np.uint64(21) | code[at + 1]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int32), line
 
 
+#: Classes of the model: clean text of each script, then each script's chains.
+CLASSES: list[tuple[str, Chain]] = [(s, ()) for s in SCRIPTS] + [(s, c) for s in SCRIPTS for c in chains_of(s)]
+CountClasses = Callable[[dict[str, list[str]]], Iterable[tuple[int, np.ndarray]]]
+
+
+def class_counts(k: int, lines: dict[str, list[str]]) -> np.ndarray:
+    """Counts of the hashed bigrams in the lines of class k's script, garbled by its chain."""
+    script, chain = CLASSES[k]
+    own = lines.get(script, [])
+    made = [g for g in (garble(x, chain) for x in own) if g is not None] if chain else own
+    changed = [g for g in made if not g.isascii()]
+    if not changed:
+        return np.zeros(BINS, dtype=np.float32)
+    # a chain that can store only a few of the lines still stands for a whole corpus
+    return (np.bincount(_bigrams(changed)[0], minlength=BINS) * (len(own) / max(len(made), 1))).astype(np.float32)
+
+
+def _count_here(lines: dict[str, list[str]]) -> Iterable[tuple[int, np.ndarray]]:
+    return ((k, class_counts(k, lines)) for k in range(len(CLASSES)))
+
+
+def count_on(spark: SparkSession) -> CountClasses:
+    """Counts the classes as tasks of their own.  The lines sent out are bounded by SAMPLE_LINES, the counts by the number of classes."""
+
+    def count(lines: dict[str, list[str]]) -> Iterable[tuple[int, np.ndarray]]:
+        sent = spark.sparkContext.broadcast(lines)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([class_counts(k, sent.value).tobytes() for k in own], pa.binary())], names=["k", "counts"])
+
+        rows = spark.range(0, len(CLASSES), 1, min(len(CLASSES), 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "k long, counts binary").collect()
+        sent.destroy()
+        return [(r["k"], np.frombuffer(r["counts"], dtype=np.float32)) for r in rows]
+
+    return count
+
+
 class Classifier:
     """Weights (BINS, classes) of a multinomial model; the first classes are clean text of each script, and ``letters``
     (BINS, scripts) weighs the bigrams of their characters."""
@@ -165,22 +207,17 @@ class Classifier:
         self.clean = np.array([not chain for _, chain in classes])
 
     @classmethod
-    def train(cls, lines: dict[str, list[str]]) -> Classifier:
-        classes: list[tuple[str, Chain]] = [(s, ()) for s in SCRIPTS] + [(s, c) for s in SCRIPTS for c in chains_of(s)]
-        counts = np.zeros((BINS, len(classes)), dtype=np.float32)
-        for k, (script, chain) in enumerate(classes):
-            own = lines.get(script, [])
-            made = [g for g in (garble(x, chain) for x in own) if g is not None] if chain else own
-            changed = [g for g in made if not g.isascii()]
-            # a chain that can store only a few of the lines still stands for a whole corpus
-            if changed:
-                counts[:, k] = np.bincount(_bigrams(changed)[0], minlength=BINS) * (len(own) / max(len(made), 1))
+    def train(cls, lines: dict[str, list[str]], count: CountClasses | None = None) -> Classifier:
+        """A model of the lines of each script; ``count`` may count the classes' bigrams elsewhere."""
+        counts = np.zeros((BINS, len(CLASSES)), dtype=np.float32)
+        for k, column in (count or _count_here)(lines):
+            counts[:, k] = column
         log = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * BINS)
         log[:, counts.sum(axis=0) == 0] = -20.0
         clean = np.stack([np.bincount(_letters(lines.get(s) or [""])[0], minlength=BINS) for s in SCRIPTS], axis=1)
         letters = np.log(clean + SMOOTHING) - np.log(clean.sum(axis=0) + SMOOTHING * BINS)
         letters[:, clean.sum(axis=0) == 0] = -20.0
-        return cls(classes, log.astype(np.float32), letters.astype(np.float32))
+        return cls(CLASSES, log.astype(np.float32), letters.astype(np.float32))
 
     def scores(self, lines: list[str]) -> np.ndarray:
         """Log-likelihoods (lines, classes)."""
@@ -217,23 +254,29 @@ class Classifier:
         return s[np.arange(len(lines)), best] - PRIOR, best, s
 
 
-def train_on(texts: list[str]) -> Classifier:
+def train_on(texts: Iterable[str], count: CountClasses | None = None) -> Classifier:
     """A classifier from sample texts, most of which are clean: in a second turn, lines the first one calls garbled are left out."""
+    # the first SAMPLE_LINES of each script by hash are a sample, not a prefix of the alphabet
     seen = {line.strip("\r") for t in texts for line in t.split("\n") if not line.isascii()}
-    lines = [x for x in seen if "�" not in x and not any(_strictly_utf8(x, w) for w in UTF8_MISTAKEN)]
-    lines.sort(key=lambda x: (zlib.crc32(x.encode()), x))  # the cut at SAMPLE_LINES is to be a sample, not a prefix of the alphabet
-    model = None
-    for _ in range(2):
-        if model is not None:
-            odds, _, _ = model.judge(lines)
-            lines = [x for x, o in zip(lines, odds, strict=True) if o < 0]
-        by_script: dict[str, list[str]] = {s: [] for s in SCRIPTS}
-        for x in lines:
-            own = by_script[script_of(x)]
-            if len(own) < SAMPLE_LINES:
-                own.append(x)
-        model = Classifier.train(by_script)
-    return model
+    lines = [(x, script_of(x)) for _, x in sorted((zlib.crc32(x.encode()), x) for x in seen)]
+    known: dict[str, bool] = {}
+
+    def usable(x: str) -> bool:
+        if x not in known:
+            known[x] = "�" not in x and not any(_strictly_utf8(x, w) for w in UTF8_MISTAKEN)
+        return known[x]
+
+    def sample(model: Classifier | None) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {s: [] for s in SCRIPTS}
+        for a in range(0, len(lines), 2048):
+            block = [(x, s) for x, s in lines[a : a + 2048] if len(out[s]) < SAMPLE_LINES and usable(x)]
+            odds = model.judge([x for x, _ in block])[0] if model is not None else np.full(len(block), -1.0)
+            for (x, s), o in zip(block, odds, strict=True):
+                if o < 0 and len(out[s]) < SAMPLE_LINES:
+                    out[s].append(x)
+        return out
+
+    return Classifier.train(sample(Classifier.train(sample(None), count)), count)
 
 
 def _strictly_utf8(line: str, read: str) -> bool:
@@ -449,6 +492,11 @@ def _kin() -> dict[Chain, list[Chain]]:
 _KIN = _kin()
 
 
+def hash_bound(n: int) -> int:
+    """The bound below which a 64-bit hash lies for SAMPLE_DOCUMENTS of n rows on average (for all, if there are fewer)."""
+    return min((1 << 63) - 1, -(1 << 63) + (SAMPLE_DOCUMENTS << 64) // max(n, 1))
+
+
 def garbled_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of which some line was decoded wrongly.
 
@@ -457,10 +505,8 @@ def garbled_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     pure ASCII texts are no cases; a repeated row is a case each time.
     """
     spark = documents.sparkSession
-    n = documents.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(n, 1))
-    sample = documents.where(F.col(f"`{text}`").isNotNull() & (F.pmod(F.xxhash64(f"`{key}`"), F.lit(1_000_000)) < int(share * 1_000_000))).select(f"`{text}`").limit(2 * SAMPLE_DOCUMENTS)
-    model = train_on([r[0] for r in sample.toLocalIterator()])
+    picked = documents.where(F.col(f"`{text}`").isNotNull() & (F.xxhash64(f"`{key}`") < F.lit(hash_bound(documents.count())))).select(f"`{text}`").limit(2 * SAMPLE_DOCUMENTS)
+    model = train_on((r[0] for r in picked.toLocalIterator()), count_on(spark))
     sent = spark.sparkContext.broadcast((model.classes, model.weights, model.letters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from gridloom.llm.mojibake import Classifier, _inspect_many, chains_of, decide, garble, garbled_documents, restore, script_of, train_on
+from gridloom.llm.mojibake import SAMPLE_DOCUMENTS, Classifier, _inspect_many, chains_of, count_on, decide, garble, garbled_documents, hash_bound, restore, script_of, train_on
 
 WORDS = {
     "western": "für Straße größer Mädchen café déjà forêt élève l’été façade señor corazón mañana não coração irmão över åka från the town’s market and house wheat".split(),
@@ -39,6 +39,19 @@ def test_chains_invert():
     assert restore("plain é", (("utf-8", "cp1252"),)) is None
 
 
+def test_the_sample_is_never_empty():
+    assert hash_bound(0) == hash_bound(SAMPLE_DOCUMENTS) == 2**63 - 1
+    for n in (10**6, 6 * 10**9 + 1, 2 * 10**10, 10**12, 10**15):
+        share = (hash_bound(n) + 2**63) / 2**64
+        assert share * n == pytest.approx(SAMPLE_DOCUMENTS, rel=1e-6)
+
+
+def test_counting_as_tasks_gives_the_same_model(spark, model):
+    rng = random.Random(1)
+    other = train_on([page(rng, s) for s in WORDS for _ in range(150)], count_on(spark))
+    assert (other.weights == model.weights).all() and (other.letters == model.letters).all()
+
+
 def test_held_out_pages(model):
     rng = random.Random(2)
     clean = [page(rng, s) for s in WORDS for _ in range(60)]
@@ -133,6 +146,6 @@ def test_repeated_chains_and_strictness(model):
 def test_the_sample_is_no_prefix(monkeypatch):
     seen = []
     monkeypatch.setattr("gridloom.llm.mojibake.SAMPLE_LINES", 50)
-    monkeypatch.setattr(Classifier, "train", classmethod(lambda cls, lines, train=Classifier.train: seen.append(lines) or train(lines)))
+    monkeypatch.setattr(Classifier, "train", classmethod(lambda cls, lines, count, train=Classifier.train: seen.append(lines) or train(lines)))
     train_on([f"{c}{k} café" for c in "abcdefghijklmnopqrstuvwxyz" for k in range(20)])
     assert len(seen[0]["western"]) == 50 and len({x[0] for x in seen[0]["western"]}) > 15
