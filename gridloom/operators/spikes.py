@@ -5,11 +5,11 @@
    principal components (principal component pursuit by an augmented Lagrangian, all
    matrices of a batch at once) split each into a low-rank part, the normal daily
    behaviour, and a sparse part.
-2. Candidates.  A reading is a candidate spike if it lies off its cell's low-rank
-   value by more than a few robust deviations of its source, or is next to one.
-3. Exact check.  A candidate is a spike if it lies outside what both the readings before
-   and those after it show, and outside its nearest unsuspected neighbours: lasting
-   changes of level, swells, and turning points of a cycle agree with one of them.
+2. Sparse component.  A reading's is what is left of it without the low-rank part at its own time.  Only a reading
+   whose sparse component exceeds a few robust deviations of its source's rest can be a spike.  A counter's profile
+   is that of its increments, its low-rank part their path.
+3. Veto.  Lasting changes of level, slow swells and cycles that don't keep to the day have a sparse component too.  A reading is
+   cleared if it agrees with the readings before or after it, or with its nearest unsuspected neighbours.
 4. Constant runs and ranges are tested separately.
 
 Scale: after the profile (a combined aggregation on source, day and cell) every source is a few
@@ -54,9 +54,9 @@ UNIT_LIMITS = {
 SIDE = 7
 #: Deviations (in robust standard deviations of neighbouring differences) of a spike.
 SPIKE_SIGMAS, NEAREST_SIGMAS, LOG_SIGMAS, COUNTER_STEPS = 7.4, 5.0, 6.4, 40.0
-#: Deviations from the daily profile that make a candidate.
-CANDIDATE_SIGMAS = 3.0
-#: Readings next to a candidate that are checked with it.
+#: Deviations from the daily profile beyond which a reading has a sparse component.
+SPARSE_SIGMAS = 3.0
+#: Readings next to a counter's jump that belong to it.
 SPREAD = 5
 #: A frozen stretch has at least so many readings, whose steps are at most so much of the source's usual step.
 FROZEN_READINGS, FROZEN_STEP = 10, 0.1
@@ -154,6 +154,10 @@ def _nanmedian(m: np.ndarray) -> np.ndarray:
     return np.where(n > 0, (a + b) / 2, 0.0)
 
 
+def _floor_div(x: str, n: int) -> str:
+    return f"(({x}) - pmod({x}, {n}L)) div {n}L"
+
+
 def prepared(samples: DataFrame, meta: DataFrame) -> DataFrame:
     """Readings with what the tests need: s, id, v, t (a credible time), mode, lo, hi.
 
@@ -180,9 +184,9 @@ def prepared(samples: DataFrame, meta: DataFrame) -> DataFrame:
 def daily_profiles(readings: DataFrame) -> DataFrame:
     """Low-rank daily behaviour of each source: s, mode, chunk (of PROFILE_DAYS days), low (cells), sigma, varies (share of cells unlike the one before), usual (step between readings)."""
     usable = readings.where((F.abs("v") < 1e300) & (F.col("lo").isNull() | (F.col("v") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
-    cells = usable.groupBy("s", "mode", F.expr(f"t div {CELL_NS}L").alias("cell")).agg(F.avg("v").alias("v"), ((F.max("v") - F.min("v")) / F.nullif(F.least(F.count("v"), F.lit(8)) - 1, F.lit(0))).alias("w"))
+    cells = usable.groupBy("s", "mode", F.expr(_floor_div("t", CELL_NS)).alias("cell")).agg(F.avg("v").alias("v"), ((F.max("v") - F.min("v")) / F.nullif(F.least(F.count("v"), F.lit(8)) - 1, F.lit(0))).alias("w"))
     chunk = PROFILE_DAYS * CELLS
-    lists = cells.groupBy("s", "mode", F.expr(f"cell div {chunk}").alias("chunk")).agg(F.collect_list(F.struct(F.expr(f"CAST(cell % {chunk} AS INT)").alias("c"), "v", "w")).alias("l"))
+    lists = cells.groupBy("s", "mode", F.expr(_floor_div("cell", chunk)).alias("chunk")).agg(F.collect_list(F.struct(F.expr(f"CAST(pmod(cell, {chunk}) AS INT)").alias("c"), "v", "w")).alias("l"))
     return lists.select("s", "mode", "chunk", F.col("l.c").alias("c"), F.col("l.v").alias("v"), F.col("l.w").alias("w")).mapInArrow(_profile, "s long, mode int, chunk long, low array<double>, sigma double, varies double, usual double")
 
 
@@ -239,6 +243,29 @@ def _nearest_unsuspected(v: np.ndarray, seg: np.ndarray, suspect: np.ndarray) ->
     return left, right
 
 
+def _sparse(own: np.ndarray, x: np.ndarray, t: np.ndarray, seg: np.ndarray, position: np.ndarray, mode: np.ndarray, block: dict[str, np.ndarray]) -> np.ndarray:
+    """The readings with a sparse component: what is left of ``own`` without the low-rank part exceeds the source's usual rest.
+
+    A counter's rest has no level of its own: the readings near one of its jumps count.  Without a profile every reading counts.
+    ``x``, ``t`` and ``seg`` are of the first copies, whose number each row has in ``position``.
+    """
+    sigma = np.nan_to_num(block["sigma"])
+    out = ~(np.abs(own - block["low"]) <= SPARSE_SIGMAS * sigma)
+    counters = mode == COUNTER
+    if counters.any():
+        lead = np.r_[True, position[1:] != position[:-1]]
+        rest = x - block["low"][lead]
+        since = np.clip(np.diff(t, prepend=0) / CELL_NS, 0, 1)  # the usual rest is that of a cell
+        jump = np.abs(np.diff(rest, prepend=np.nan)) > SPARSE_SIGMAS * sigma[lead] * np.sqrt(since)
+        jump[np.r_[True, seg[1:] != seg[:-1]]] = False
+        near = jump | np.isnan(rest)
+        for k in range(1, min(SPREAD, len(jump) - 1) + 1):
+            near[k:] |= jump[:-k]
+            near[:-k] |= jump[k:]
+        out = np.where(counters, near[position], out)
+    return out
+
+
 def judge(block: dict[str, np.ndarray]) -> np.ndarray:
     """Marks the implausible rows of whole blocks: bit 1 spike, 2 frozen, 4 out of range.
 
@@ -277,14 +304,8 @@ def judge(block: dict[str, np.ndarray]) -> np.ndarray:
         level = np.abs(np.fmin(np.abs(mL), np.abs(mR)))
         sigma = np.fmax(np.nan_to_num(sigma, nan=0.0), np.where((profile_sigma == 0) & (pm == GAUGE), SETTING_SLACK, 1e-6) * np.nan_to_num(level) + 1e-12)
         limit = np.where(pm == COUNTER, COUNTER_STEPS, np.where(logged, LOG_SIGMAS, SPIKE_SIGMAS)) * sigma
-        # candidates: off the low-rank profile, or near such a reading
-        off = np.where(pm == COUNTER, np.abs(np.diff(raw, prepend=np.nan) - block["low"][lead]), np.abs(x - block["low"][lead]))
-        candidate = ~(off <= CANDIDATE_SIGMAS * profile_sigma)
-        near = candidate.copy()
-        for k in range(1, SPREAD + 1):
-            near[k:] |= candidate[:-k]
-            near[:-k] |= candidate[k:]
-        suspect = near & ((x > hi + limit) | (x < lo - limit))
+        sparse = _sparse(change(v, mode), x, t[lead], seg, position, mode, block)
+        suspect = sparse[lead] & ((x > hi + limit) | (x < lo - limit))
         left, right = _nearest_unsuspected(x, seg, suspect)
         # each copy by its own value
         xv = change(v, mode)
@@ -293,8 +314,7 @@ def judge(block: dict[str, np.ndarray]) -> np.ndarray:
         nearest = np.where(mode == COUNTER, limit[p], NEAREST_SIGMAS * sigma[p])
         apart = ~(np.abs(xv - left[p]) <= nearest) & ~(np.abs(xv - right[p]) <= nearest)
         both = ~np.isnan(mL[p]) | ~np.isnan(mR[p])
-        differs = xv != x[p]
-        flags[outside & apart & both & (near[p] | differs)] |= 1
+        flags[sparse & outside & apart & both] |= 1
     return flags
 
 
@@ -321,9 +341,16 @@ def _ingest(batch: pa.RecordBatch, header: dict | None) -> tuple[dict[str, np.nd
         h = np.maximum(mine, 0)
         right = (mine >= 0) & (heads["s"][h] == out["s"]) & (heads["b"][h] == out["b"])
         offset = np.cumsum(heads["n"]) - heads["n"]
-        cell = out["t"] // CELL_NS - heads["c0"][h]
-        inside = right & (cell >= 0) & (cell < heads["n"][h])
-        out["low"][inside] = heads["flat"][(offset[h] + cell)[inside]]
+        # the low-rank part at the reading's own time: between the middles of its cell and the nearest other one
+        place = np.clip((out["t"] - heads["c0"][h] * CELL_NS) / CELL_NS - 0.5, 0, np.maximum(heads["n"][h] - 1, 0))
+        cell = np.minimum(place.astype("int64"), np.maximum(heads["n"][h] - 2, 0))
+        inside = right & (heads["n"][h] > 0)
+        # a counter's is the path of its increments
+        path = np.cumsum(np.nan_to_num(heads["flat"]))
+        for flat, mine in ((heads["flat"], inside & (out["mode"] != COUNTER)), (path, inside & (out["mode"] == COUNTER))):
+            a = (offset[h] + cell)[mine]
+            b = np.minimum(a + 1, (offset[h] + heads["n"][h])[mine] - 1)
+            out["low"][mine] = flat[a] + (flat[b] - flat[a]) * (place - cell)[mine]
         for k in ("sigma", "varies", "usual"):
             out[k] = np.where(right, heads[k][h], np.nan)
         last = len(heads["s"]) - 1
@@ -389,7 +416,7 @@ def implausible(samples: DataFrame, meta: DataFrame) -> DataFrame:
         "varies",
         "usual",
     )
-    block = lambda t: F.expr(f"({t}) div {BLOCK_NS}L")
+    block = lambda t: F.expr(_floor_div(t, BLOCK_NS))
     spread = readings.select("s", F.explode(F.array_distinct(F.array(block(f"t - {HALO_NS}L"), block("t"), block(f"t + {HALO_NS}L")))).alias("b"), "t", "id", "v", "mode", "lo", "hi")
     empty = [F.lit(None).cast(k).alias(c) for c, k in (("low", "array<double>"), ("c0", "long"), ("sigma", "double"), ("varies", "double"), ("usual", "double"))]
     rows = spread.select("*", *empty)

@@ -107,3 +107,27 @@ def test_long_blocks_are_judged_in_turns(spark, monkeypatch):
     monkeypatch.setattr(spikes, "CONTEXT_ROWS", 50)
     found = [x for b in spikes._checked(iter(table.to_batches(max_chunksize=700))) for x in b.column("sample_id").to_pylist()]
     assert sorted(found) == [5, 2999, 3000, 5990]
+
+
+def test_without_the_low_rank_part_spikes_within_the_daily_range_are_lost():
+    """The ablation: with each source's median and spread in place of the robust principal components, judge() misses what they show."""
+    rng = np.random.default_rng(3)
+    n, per_day = 4 * 288, 288
+    t = START // spikes.DAY_NS * spikes.DAY_NS + np.arange(n) * 5 * MINUTE
+    v = 20 + 5 * np.sin(2 * np.pi * np.arange(n) / per_day) + rng.normal(0, 0.2, n)
+    planted = np.arange(216, n, 144)  # troughs and crests, in turn
+    v[planted] += np.where(v[planted] < 20, 5.0, -5.0)
+    cells = (t - t[0]) // spikes.CELL_NS
+    means = [v[cells == c].mean() for c in range(cells.max() + 1)]
+    batch = pa.RecordBatch.from_pydict({"s": [1], "mode": pa.array([0], pa.int32()), "chunk": [0], "c": [list(range(len(means)))], "v": [means], "w": [[0.3] * len(means)]})
+    told = next(spikes._profile(iter([batch])))
+    low = np.array(told.column("low")[0].as_py())[cells]
+
+    def spikes_with(low, sigma):
+        column = lambda x: np.full(n, float(x))
+        block = {"g": np.ones(n, dtype=int), "t": t, "v": v, "mode": np.zeros(n, dtype=int), "lo": column(-100), "hi": column(200), "low": low, "sigma": column(sigma), "usual": column(0.3), "varies": column(1)}
+        return set(np.flatnonzero(spikes.judge(block) & 1))
+
+    assert spikes_with(low, told.column("sigma")[0].as_py()) == set(planted)
+    middle = np.median(v)
+    assert len(spikes_with(np.full(n, middle), 1.4826 * np.median(np.abs(v - middle)))) == 0
