@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.engine import Engine
 from gridloom.shared import nanoseconds, table
-from gridloom.sources.base import InMemorySource
-from gridloom.sources.wide import WideSource
+from gridloom.sources.base import InMemorySource, LongTableSource, MetricSource
+from gridloom.sources.wide import ColumnMapping, WideParquetSource, WideSource, parquet_time_range
+from gridloom.types import Matcher
 
 SECOND = 1_000_000_000
 HOUR = 3600 * SECOND
@@ -24,9 +25,11 @@ FIRST = 1_704_067_200 * SECOND
 NOW = FIRST + 14 * DAY + 12 * HOUR
 GRID = (FIRST, FIRST + 30 * DAY, 6 * HOUR)
 LOOKBACK = 12 * HOUR
-#: The days of orders and lineitem: 1992 on.
-OLD = (694_224_000 * SECOND, 915_148_800 * SECOND, 30 * DAY)
-TYPES = ("click", "error", "purchase", "signup", "view")
+#: The days of orders and lineitem, 1995 to 2001, with some to spare at either end.
+OLD = (694_224_000 * SECOND, 1_009_843_200 * SECOND, 30 * DAY)
+OLD_DAILY = (OLD[0], OLD[1], DAY)
+#: 2025-03-03, the first of the four days of instant_samples.
+READINGS = (1_740_960_000 * SECOND, 1_741_305_600 * SECOND, HOUR)
 
 
 def source(spark: SparkSession, sf_dir: str) -> InMemorySource:
@@ -51,9 +54,23 @@ def source(spark: SparkSession, sf_dir: str) -> InMemorySource:
 
 def wide_source(spark: SparkSession, sf_dir: str) -> WideSource:
     """Events per hour as a wide table, one column ``event_count/<type>/1`` per type, by the slash convention."""
-    hours = table(spark, sf_dir, "events").withColumn("timestamp", F.expr(f"({nanoseconds_sql('ts')}) div {HOUR}L * {HOUR}L"))
-    counted = hours.groupBy("timestamp").agg(*[F.count(F.when(F.col("event_type") == t, 1)).cast("double").alias(f"event_count/{t}/1") for t in TYPES], F.count(F.lit(1)).cast("double").alias("duration"))
-    return WideSource(counted)
+    return WideSource(_wide_events(spark, sf_dir))
+
+
+def _wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = table(spark, sf_dir, "events").select(F.expr(f"({nanoseconds_sql('ts')}) div {HOUR}L * {HOUR}L").alias("timestamp"), F.concat(F.lit("event_count/"), "event_type", F.lit("/1")).alias("series"))
+    counted = hours.groupBy("timestamp").pivot("series").count().na.fill(0)
+    return counted.select("timestamp", *[F.col(f"`{c}`").cast("double").alias(c) for c in counted.columns[1:]], F.lit(1.0).alias("duration"))
+
+
+def long_source(spark: SparkSession, sf_dir: str) -> LongTableSource:
+    """instant_samples, the table in the long schema."""
+    return LongTableSource(table(spark, sf_dir, "instant_samples"), timestamp="timestamp_ns", labels=["instance", "job", "op", "id"])
+
+
+def wide_parquet_source(spark: SparkSession, sf_dir: str) -> WideParquetSource:
+    """The same file as a wide one: its whole numbers are the columns of two metrics, one named by metadata."""
+    return WideParquetSource(spark, f"{sf_dir}/instant_samples.parquet", ColumnMapping("timestamp_ns", ("value",), metadata={"sample_id": {"metric": "arrivals", "unit": "rows", "table": "instant_samples"}}))
 
 
 def nanoseconds_sql(column: str) -> str:
@@ -71,11 +88,17 @@ METRICS = {
     "orders_count": ("SELECT epoch_us(date_trunc('day', o_orderdate)) * 1000 AS ts, o_orderstatus, o_orderpriority, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY ALL", ["o_orderstatus", "o_orderpriority"]),
     "lineitem_qty": ("SELECT epoch_us(date_trunc('day', l_shipdate)) * 1000 AS ts, l_returnflag, l_linestatus, sum(l_quantity) AS value FROM lineitem GROUP BY ALL", ["l_returnflag", "l_linestatus"]),
     "event_count": (
-        " UNION ALL ".join(f"SELECT epoch_us(date_trunc('hour', ts)) * 1000 AS ts, '1' AS id, '{t}' AS op, CAST(count(*) FILTER (event_type = '{t}') AS DOUBLE) AS value FROM events GROUP BY 1" for t in TYPES),
+        """SELECT h.ts, '1' AS id, t.event_type AS op, CAST(count(e.event_id) AS DOUBLE) AS value FROM (SELECT DISTINCT epoch_us(date_trunc('hour', ts)) * 1000 AS ts FROM events) h
+CROSS JOIN (SELECT DISTINCT event_type FROM events) t LEFT JOIN events e ON e.event_type = t.event_type AND epoch_us(date_trunc('hour', e.ts)) * 1000 = h.ts GROUP BY ALL""",
         ["id", "op"],
     ),
+    "arrivals": ("SELECT timestamp_ns AS ts, 'instant_samples' AS \"table\", CAST(sample_id AS DOUBLE) AS value FROM instant_samples WHERE timestamp_ns IS NOT NULL AND sample_id IS NOT NULL", ['"table"']),
 }
 
+for _m in ("cpu_busy_ratio", "frames_in_total", "call_latency_seconds", "cores_online", "rail_volts"):
+    _labels = ", ".join(f"coalesce({x}, '') AS {x}" for x in ("instance", "job", "op", "id"))
+    METRICS[_m] = (f"SELECT timestamp_ns AS ts, {_labels}, value FROM instant_samples WHERE __name__ = '{_m}' AND value IS NOT NULL", ["instance", "job", "op", "id"])
+
 
 def _grid(grid) -> str:
     start, end, step = grid
@@ -85,23 +108,23 @@ def _grid(grid) -> str:
 def aligned(metric: str, grid=GRID, offset: int = 0, where: str = "true", lookback: int = LOOKBACK) -> str:
     sql, labels = METRICS[metric]
     names = ", ".join(labels)
-    return f"SELECT t AS timestamp, {names}, arg_max(value, ts) AS value FROM {_grid(grid)} g JOIN ({sql}) l ON ts + {offset} <= t AND ts + {offset} >= t - {lookback} WHERE {where} GROUP BY ALL"
+    return f"SELECT t AS timestamp, {names}, arg_max(value, (ts, value)) AS value FROM {_grid(grid)} g JOIN ({sql}) l ON ts + {offset} <= t AND ts + {offset} >= t - {lookback} WHERE {where} GROUP BY ALL"
 
 
-def windowed(metric: str, function: str, width: int, grid=GRID, offset: int = 0) -> str:
+def windowed(metric: str, function: str, width: int, grid=GRID, offset: int = 0, where: str = "true") -> str:
     sql, labels = METRICS[metric]
     names = ", ".join(labels)
-    gain = "CASE WHEN value >= pv THEN value - pv ELSE value END"
+    gain = "CASE WHEN value >= pv AND NOT isnan(value) THEN value - pv ELSE value END"
     formula, having = {
         "increase": (f"sum(CASE WHEN i > 1 THEN {gain} ELSE 0 END)", "true"),
         "rate": (f"sum(CASE WHEN i > 1 THEN {gain} ELSE 0 END) / ((max(ts) - min(ts)) / 1e9)", "max(ts) > min(ts)"),
-        "irate": (f"arg_max({gain}, ts) / (arg_max(ts - pt, ts) / 1e9)", "arg_max(ts - pt, ts) > 0"),
-        "delta": ("arg_max(value, ts) - arg_min(value, ts)", "true"),
-        "idelta": ("arg_max(value - pv, ts)", "true"),
+        "irate": (f"arg_max({gain}, i) / (arg_max(ts - pt, i) / 1e9)", "arg_max(ts - pt, i) > 0"),
+        "delta": ("arg_max(value, i) - arg_min(value, i)", "true"),
+        "idelta": ("arg_max(value - pv, i)", "true"),
     }[function]
     return f"""SELECT t AS timestamp, {names}, {formula} AS value FROM (
   SELECT t, {names}, ts, value, lag(value) OVER p AS pv, lag(ts) OVER p AS pt, row_number() OVER p AS i
-  FROM {_grid(grid)} g JOIN ({sql}) l ON ts + {offset} <= t AND ts + {offset} >= t - {width} WINDOW p AS (PARTITION BY t, {names} ORDER BY ts)) w
+  FROM {_grid(grid)} g JOIN ({sql}) l ON ts + {offset} <= t AND ts + {offset} >= t - {width} WHERE {where} WINDOW p AS (PARTITION BY t, {names} ORDER BY ts, value)) w
 GROUP BY t, {names} HAVING count(*) >= 2 AND {having}"""
 
 
@@ -191,10 +214,16 @@ _add("time_no_argument", "hour()", GRID, _value("hour(make_timestamp(timestamp /
 
 _add("label_replace", 'label_replace(event_value, "short", "$1-x", "event_type", "(.).*k|vi(ew)?")', GRID, f"SELECT timestamp, event_type, CASE WHEN regexp_full_match(event_type, '(.).*k|vi(ew)?') THEN regexp_extract(event_type, '^(?:(.).*k|vi(ew)?)$', 1) || '-x' ELSE '' END AS short, value FROM ({_V}) q")
 _add("label_join", 'label_join(user_value, "both", "/", "user_id", "nothing", "event_type")', GRID, f"SELECT timestamp, event_type, user_id, user_id || '//' || event_type AS both, value FROM ({_U}) q")
-_add("sort_value", "sort(event_value)", AT, _VI)
-_add("sort_value_desc", "sort_desc(event_value)", AT, _VI)
-_add("sort_label", 'sort_by_label(event_value, "event_type")', AT, _VI)
-_add("sort_label_desc", 'sort_by_label_desc(event_value, "event_type")', AT, _VI)
+
+
+def _sorted(order: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM ({_VI}) q"
+
+
+_add("sort_value", "sort(event_value)", AT, _sorted("value"))
+_add("sort_value_desc", "sort_desc(event_value)", AT, _sorted("value DESC"))
+_add("sort_label", 'sort_by_label(event_value, "event_type")', AT, _sorted("event_type"))
+_add("sort_label_desc", 'sort_by_label_desc(event_value, "event_type")', AT, _sorted("event_type DESC"))
 
 _AGGREGATES = {"sum": "sum(value)", "avg": "avg(value)", "count": "count(value)", "min": "min(value)", "max": "max(value)", "stddev": "stddev_pop(value)", "stdvar": "var_pop(value)", "group": "1", "quantile": "quantile_cont(value, 0.3)"}
 for _n, _e in _AGGREGATES.items():
@@ -227,12 +256,29 @@ _add("bin_on", "event_value * on (event_type) event_k", GRID, f"SELECT timestamp
 _sums = f"SELECT timestamp, event_type, sum(value) AS value FROM ({_U}) q GROUP BY timestamp, event_type"
 _add("bin_group_left", "user_value / on (event_type) group_left sum by (event_type) (user_value)", GRID, f"SELECT timestamp, event_type, user_id, a.value / b.value AS value FROM ({_U}) a JOIN ({_sums}) b USING (timestamp, event_type)")
 _add("bin_group_right", "sum by (event_type) (user_value) - ignoring (user_id) group_right user_value", GRID, f"SELECT timestamp, event_type, user_id, b.value - a.value AS value FROM ({_U}) a JOIN ({_sums}) b USING (timestamp, event_type)")
-_add("bin_ignoring", "event_value + ignoring (nothing) event_k", GRID, f"SELECT timestamp, event_type, a.value + b.value AS value FROM {_pair}")
+_add("bin_ignoring", 'label_replace(event_value, "side", "left", "event_type", ".*") + ignoring (side) label_replace(event_k, "side", "right", "event_type", ".*")', GRID, f"SELECT timestamp, event_type, a.value + b.value AS value FROM {_pair}")
+_add("bin_group_left_label", 'user_value * on (event_type) group_left (side) label_replace(event_k, "side", "$1", "event_type", "(..).*")', GRID, f"SELECT timestamp, event_type, user_id, left(event_type, 2) AS side, a.value * b.value AS value FROM ({_U}) a JOIN ({_K}) b USING (timestamp, event_type)")
+# what IEEE-754 says and SQL mostly doesn't
+_ieee = {
+    "div_zero": ("(event_k - 50) / (event_k - event_k)", "CASE WHEN value > 50 THEN 'inf'::DOUBLE WHEN value < 50 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END"),
+    "mod_zero": ("event_k % 0", "'nan'::DOUBLE"),
+    "ln": ("ln(event_k - 50)", "CASE WHEN value > 50 THEN ln(value - 50) WHEN value = 50 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END"),
+    "sqrt": ("sqrt(event_k - 50)", "CASE WHEN value >= 50 THEN sqrt(value - 50) ELSE 'nan'::DOUBLE END"),
+    "acosh": ("acosh(event_k - 50)", "CASE WHEN value >= 51 THEN acosh(value - 50) ELSE 'nan'::DOUBLE END"),
+    "ceil_inf": ("ceil(event_k / 0)", "CASE WHEN value = 0 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END"),
+    "clamp_nan": ("clamp_min(sqrt(event_k - 50), 3)", "CASE WHEN value < 50 THEN 3 ELSE greatest(sqrt(greatest(value - 50, 0)), 3) END"),
+    "nan_equal": ("sqrt(event_k - 50) == bool sqrt(event_k - 50)", "CASE WHEN value >= 50 THEN 1 ELSE 0 END"),
+    "nan_greater": ("sqrt(event_k - 50) > bool 2", "CASE WHEN value > 54 THEN 1 ELSE 0 END"),
+}
+for _n, (_q, _e) in _ieee.items():
+    _add(f"ieee_{_n}", _q, GRID, _value(_e, _K))
+_add("ieee_sum", "sum(sqrt(event_k - 50))", GRID, f"SELECT timestamp, CASE WHEN min(value) < 50 THEN 'nan'::DOUBLE ELSE sum(sqrt(greatest(value - 50, 0))) END AS value FROM ({_K}) q GROUP BY timestamp")
+_add("fold_scalars", "event_value * (2 ^ 3 - 7 % 4)", GRID, _value("value * 5", _V))
 _add("bin_and", 'event_value and event_k{event_type=~"c.*"}', GRID, f"SELECT * FROM ({_V}) q WHERE event_type LIKE 'c%'")
 _add("bin_unless", 'event_value unless event_k{event_type=~"c.*"}', GRID, f"SELECT * FROM ({_V}) q WHERE event_type NOT LIKE 'c%'")
 _add("bin_or", 'event_value{event_type="view"} or event_k', GRID, f"SELECT * FROM ({_V}) q WHERE event_type = 'view' UNION ALL SELECT * FROM ({_K}) q WHERE event_type <> 'view'")
 _add("bin_unary_minus", "-event_value", GRID, _value("-value", _V))
-_add("old_orders", "sum by (o_orderstatus) (orders_count)", OLD, f"SELECT timestamp, o_orderstatus, sum(value) AS value FROM ({aligned('orders_count', OLD)}) q GROUP BY ALL")
+_add("old_orders", "sum by (o_orderstatus) (orders_count)", OLD_DAILY, f"SELECT timestamp, o_orderstatus, sum(value) AS value FROM ({aligned('orders_count', OLD_DAILY)}) q GROUP BY ALL")
 
 _WIDE: dict[str, tuple[str, tuple[int, int, int], str]] = {
     "wide_select": ("event_count", GRID, aligned("event_count")),
@@ -240,19 +286,77 @@ _WIDE: dict[str, tuple[str, tuple[int, int, int], str]] = {
     "wide_increase": ("increase(event_count[12h])", GRID, windowed("event_count", "increase", 12 * HOUR)),
     "wide_sum": ("sum by (op) (event_count)", GRID, f"SELECT timestamp, op, value FROM ({aligned('event_count')}) q"),
 }
-#: Values are compared to so many digits, moved off the ties of rounding, where the order of a sum decides.
-_DIGITS, _OFF_TIE = 5, 3.3e-7
+_cpu = aligned("cpu_busy_ratio", READINGS)
+_LONG: dict[str, tuple[str, tuple[int, int, int], str]] = {
+    "long_select": ("cpu_busy_ratio", READINGS, _cpu),
+    "long_equal": ('cpu_busy_ratio{job="edge_agent"}', READINGS, aligned("cpu_busy_ratio", READINGS, where="job = 'edge_agent'")),
+    "long_not_equal": ('cpu_busy_ratio{job!="edge_agent"}', READINGS, aligned("cpu_busy_ratio", READINGS, where="job <> 'edge_agent'")),
+    "long_absent": ('cpu_busy_ratio{job="",op=""}', READINGS, aligned("cpu_busy_ratio", READINGS, where="job = '' AND op = ''")),
+    "long_present": ('call_latency_seconds{op!=""}', READINGS, aligned("call_latency_seconds", READINGS, where="op <> ''")),
+    "long_alternatives": ('call_latency_seconds{op=~"read|write|merge"}', READINGS, aligned("call_latency_seconds", READINGS, where="op IN ('read', 'write', 'merge')")),
+    "long_regex_absent": ('call_latency_seconds{job!~"edge.+"}', READINGS, aligned("call_latency_seconds", READINGS, where="NOT regexp_full_match(job, 'edge.+')")),
+    "long_rate": ("sum by (instance, op) (rate(frames_in_total[30m]))", READINGS, f"SELECT timestamp, instance, op, sum(value) AS value FROM ({windowed('frames_in_total', 'rate', HOUR // 2, READINGS)}) q GROUP BY ALL"),
+    "long_delta": ('delta(rail_volts{job="sensor_hub"}[1h])', READINGS, windowed("rail_volts", "delta", HOUR, READINGS, where="job = 'sensor_hub'")),
+    "long_max": ("max by (instance) (cores_online)", READINGS, f"SELECT timestamp, instance, max(value) AS value FROM ({aligned('cores_online', READINGS)}) q GROUP BY ALL"),
+}
+_PARQUET: dict[str, tuple[str, tuple[int, int, int], str]] = {
+    "wide_parquet_select": ("arrivals", READINGS, aligned("arrivals", READINGS)),
+    "wide_parquet_idelta": ('idelta(arrivals{table="instant_samples"}[2h])', READINGS, windowed("arrivals", "idelta", 2 * HOUR, READINGS)),
+}
+#: Values are compared to so many significant digits; the cut between two roundings is off the ties, where the order of a sum decides.
+_DIGITS, _CUT = 10, 0.4837261
 
 
-def _query(query: str, grid: tuple[int, int, int], make: Callable) -> Callable[[SparkSession, str], DataFrame]:
+def comparable(value: Column) -> Column:
+    """A value rounded to _DIGITS significant digits, the whole part's counted; what is not finite stays as it is."""
+    scale = F.pow(F.lit(10.0), F.lit(_DIGITS) - F.length(F.abs(value).cast("decimal(38,0)").cast("string")))
+    return F.when(F.isnan(value) | (F.abs(value) > 1e15), value).otherwise(F.floor(value * scale + F.lit(_CUT)) / scale)
+
+
+_COMPARABLE = f"CASE WHEN isnan(value) OR abs(value) > 1e15 THEN value ELSE floor(value * pow(10.0, {_DIGITS} - length(CAST(CAST(abs(value) AS DECIMAL(38,0)) AS VARCHAR))) + {_CUT}) / pow(10.0, {_DIGITS} - length(CAST(CAST(abs(value) AS DECIMAL(38,0)) AS VARCHAR))) END"
+
+
+def _query(query: str, grid: tuple[int, int, int], make: Callable, ordered: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(make(spark, sf_dir), LOOKBACK)
         frame = engine.instant_frame(query, grid[0]) if grid == AT else engine.range_frame(query, *grid)
         names = [x for x in frame.labels if x != "__name__"]
-        return frame.df.select("timestamp", *names, F.round(F.col("value") + F.lit(_OFF_TIE), _DIGITS).alias("value"))
+        # one part keeps the order of the result, so that it shows as a column
+        df = frame.df.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1) if ordered else frame.df
+        return df.select("timestamp", *names, comparable(F.col("value")).alias("value"), *(["position"] if ordered else []))
+
+    return run
+
+
+def _metrics(make: Callable[[SparkSession, str], MetricSource], matcher: Matcher | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """What a source lists: one row for each metric and label."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.createDataFrame([(m.name, x) for m in make(spark, sf_dir).list_metrics(matcher) for x in m.label_names or ("",)], "metric string, label string")
 
     return run
 
 
-QUERIES = {name: _query(text, grid, source) for name, (text, grid, _) in _ENTRIES.items()} | {name: _query(text, grid, wide_source) for name, (text, grid, _) in _WIDE.items()}
-ORACLE = {name: f"SELECT * REPLACE (round(CAST(value AS DOUBLE) + {_OFF_TIE}, {_DIGITS}) AS value) FROM ({sql}) final" for name, (_, _, sql) in (_ENTRIES | _WIDE).items() if sql}
+def footer_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = parquet_time_range(f"{sf_dir}/instant_samples.parquet", "timestamp_ns", spark)
+    return spark.createDataFrame([(r.start_ns, r.end_ns)], "start_ns long, end_ns long")
+
+
+_MADE = [(_ENTRIES, source), (_WIDE, wide_source), (_LONG, long_source), (_PARQUET, wide_parquet_source)]
+QUERIES = {name: _query(text, grid, make, name.startswith("sort_")) for entries, make in _MADE for name, (text, grid, _) in entries.items()}
+QUERIES |= {
+    "list_long": _metrics(long_source),
+    "list_long_regex": _metrics(long_source, Matcher("__name__", "=~", "c.*|rail_volts")),
+    "list_wide": _metrics(wide_source),
+    "list_wide_parquet": _metrics(wide_parquet_source, Matcher("__name__", "!=", "series_id")),
+    "footer_range": footer_range,
+}
+ORACLE = {name: f"SELECT * REPLACE ({_COMPARABLE} AS value) FROM (SELECT * REPLACE (CAST(value AS DOUBLE) AS value) FROM ({sql}) inner_query) final" for entries, _ in _MADE for name, (_, _, sql) in entries.items() if sql}
+_LISTED = " UNION ALL ".join(f"SELECT __name__ AS metric, '{x}' AS label FROM instant_samples WHERE __name__ IS NOT NULL GROUP BY __name__ HAVING max(coalesce({x}, '')) <> ''" for x in ("instance", "job", "op", "id"))
+ORACLE |= {
+    "list_long": _LISTED,
+    "list_long_regex": f"SELECT * FROM ({_LISTED}) q WHERE regexp_full_match(metric, 'c.*|rail_volts')",
+    "list_wide": "SELECT 'event_count' AS metric, unnest(['id', 'op']) AS label",
+    "list_wide_parquet": "SELECT 'arrivals' AS metric, 'table' AS label",
+    "footer_range": "SELECT min(timestamp_ns) AS start_ns, max(timestamp_ns) AS end_ns FROM instant_samples",
+}

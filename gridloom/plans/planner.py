@@ -87,16 +87,24 @@ class Planner:
         if METRIC_NAME in labels:
             df = df.where(q(METRIC_NAME) == name)
         for m in matchers:
-            df = df.where(self.matcher(m, F.coalesce(q(m.label), F.lit("")) if m.label in labels else F.lit(name if m.label == METRIC_NAME else "")))
+            if m.label in labels:
+                df = df.where(self.matcher(m, q(m.label)))
+            elif not m.matches(name if m.label == METRIC_NAME else ""):
+                df = df.where(F.lit(False))
         out = df.select((time + F.lit(node.offset_ns)).alias("timestamp"), *[F.coalesce(q(x), F.lit("")).alias(x) for x in labels], value.alias("value"))
         return out, labels
 
     @staticmethod
-    def matcher(m: Matcher, value: Column) -> Column:
+    def matcher(m: Matcher, label: Column) -> Column:
+        """A matcher on a label column in which null stands for '' too, on the plain column, so that scans can use it."""
         if m.op in ("=", "!="):
-            return value == m.value if m.op == "=" else value != m.value
-        hit = value.rlike(anchored(m.value))
-        return hit if m.op == "=~" else ~hit
+            hit = (label == m.value) if m.op == "=" else (label != m.value)
+        else:
+            parts = m.value.split("|")
+            plain = all(p.replace("_", "").replace("-", "").isalnum() for p in parts)  # alternatives without any special character
+            hit = label.isin(parts) if plain else label.rlike(anchored(m.value))
+            hit = hit if m.op == "=~" else ~hit
+        return hit | label.isNull() if m.matches("") else hit
 
     # -- functions
 

@@ -4,7 +4,8 @@ Both reduce the samples before anything is sorted per series.  For a selector, s
 same step compete, and only the latest can win: one row per series and step is left.  For range
 functions, samples that serve exactly the same windows form a slice; a slice is summarised
 (count, ends, increase within), and windows are sums of slices.  So a series with a third of all samples is
-spread over as many tasks as it has steps, and what is sorted per series is bounded by the steps.
+spread over as many tasks as it has steps (an instant query: parts of its window), and what is sorted per series is bounded by
+the steps or parts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.frame import Grid, SeriesFrame, q, whole_part
 
+#: Parts into which the window of an instant query is cut.
+INSTANT_PARTS = 256
 RANGE_FUNCTIONS = ("rate", "increase", "irate", "delta", "idelta")
 
 
@@ -55,7 +58,8 @@ def align(samples: DataFrame, labels: list[str], grid: Grid, lookback: int) -> S
 
 def _gain(now: Column, before: Column) -> Column:
     """Increase of a counter between two samples; after a reset it is the new value."""
-    return F.when(now - before >= 0, now - before).otherwise(now)
+    gain = now - before
+    return F.when((gain >= 0) & ~F.isnan(gain), gain).otherwise(now)
 
 
 def range_function(name: str, samples: DataFrame, labels: list[str], grid: Grid, width: int) -> SeriesFrame:
@@ -65,19 +69,21 @@ def range_function(name: str, samples: DataFrame, labels: list[str], grid: Grid,
     """
     names = [q(x) for x in labels]
     ts, value = F.col("timestamp"), F.col("value")
-    served = samples.select(*names, ts, value, _ceil_step(ts, grid).alias("__g_a"), _floor_step(ts + F.lit(width), grid).alias("__g_b"))
+    # the one window of an instant query is cut into parts, or each series would be sorted as a whole
+    part = whole_part(ts - F.lit(grid.start - width), max(width // INSTANT_PARTS, 1)) if grid.instant else F.lit(0).cast("long")
+    served = samples.select(*names, ts, value, _ceil_step(ts, grid).alias("__g_a"), _floor_step(ts + F.lit(width), grid).alias("__g_b"), part.alias("__g_c"))
     served = served.where(F.col("__g_b") >= F.col("__g_a")).where(F.col("__g_a") <= grid.last)
-    within = Window.partitionBy(*names, "__g_a", "__g_b").orderBy("timestamp", "value")
+    within = Window.partitionBy(*names, "__g_a", "__g_b", "__g_c").orderBy("timestamp", "value")
     before = F.lag(F.struct("timestamp", "value")).over(within)
     paired = served.withColumn("__g_p", before)
     sample = F.struct("timestamp", "value")
-    slices = paired.groupBy(*names, "__g_a", "__g_b").agg(
+    slices = paired.groupBy(*names, "__g_a", "__g_b", "__g_c").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(sample).alias("first"),
         F.max(F.struct("timestamp", "value", F.col("__g_p").alias("prev"))).alias("last"),
         F.coalesce(F.sum(F.when(F.col("__g_p").isNotNull(), _gain(value, F.col("__g_p.value")))), F.lit(0.0)).alias("gain"),
     )
-    ordered = Window.partitionBy(*names).orderBy("__g_a", "__g_b")
+    ordered = Window.partitionBy(*names).orderBy("__g_a", "__g_b", "__g_c")
     linked = slices.select("*", F.lag("__g_b").over(ordered).alias("__g_pb"), F.lag(F.struct("last.timestamp", "last.value")).over(ordered).alias("__g_pl"))
     windows = linked.select(*names, "n", "first", "last", "gain", "__g_pb", "__g_pl", F.explode(F.sequence("__g_a", "__g_b")).alias("__g_k"))
     joined = F.col("__g_pb") >= F.col("__g_k")  # the slice before belongs to this window too

@@ -6,10 +6,14 @@ metadata or from its name.  Only the matching columns are read; they are unpivot
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
-import pyarrow.parquet as pq
+import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +74,9 @@ class WideSource(MetricSource):
         fields = [f for f in df.schema if f.name != m.timestamp_column and f.name not in m.ignore_columns and _is_number(f.dataType)]
         self._series = {f.name: m.parse(f.name, m.metadata.get(f.name)) for f in fields}
 
+    def has(self, name: str) -> bool:
+        return any(metric == name for metric, _ in self._series.values())
+
     def table_for_metric(self, name: str, matchers: Sequence[Matcher] = (), time: TimeRange = TimeRange()) -> DataFrame:
         mine = {c: labels for c, (metric, labels) in self._series.items() if metric == name}
         if not mine:
@@ -106,30 +113,86 @@ class WideSource(MetricSource):
         return [MetricMeta(n, tuple(sorted(names[n]))) for n in sorted(names) if matcher is None or matcher.matches(n)]
 
 
-class WideParquetSource(WideSource):
-    """A wide Parquet file, with the metadata of its columns."""
+def _footers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, object]]:
+    """The Parquet files below some paths (files, folders, globs, on any file system Spark knows) and their footers.
 
-    def __init__(self, spark: SparkSession, path: str, mapping: ColumnMapping | None = None):
-        self.path = path
-        mapping = mapping or ColumnMapping()
-        try:
-            schema = pq.read_schema(path)
-        except (OSError, ValueError) as e:
-            raise DataSourceError(f"cannot read {path}: {e}") from None
-        mapping.metadata = {f.name: {k.decode(): v.decode() for k, v in f.metadata.items() if not k.startswith(b"PARQUET:")} for f in schema if f.metadata} | mapping.metadata
-        super().__init__(spark.read.parquet(path), mapping)
+    Only footers are read, several at once.
+    """
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    try:
+        files = sorted(spark.read.parquet(*([path] if isinstance(path, str) else path)).inputFiles())
+
+        def footer(file: str):
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)), hadoop))
+            try:
+                return reader.getFooter()
+            finally:
+                reader.close()
+
+        with ThreadPoolExecutor(16) as pool:
+            return list(zip(files, pool.map(footer, files), strict=True))
+    except (PySparkException, Py4JError) as e:
+        raise DataSourceError(f"cannot read {path}: {str(e).splitlines()[0]}") from None
+
+
+def _column_metadata(footer) -> dict[str, dict[str, str]]:
+    """Metadata of the columns, from the Arrow schema that writers of Arrow tables keep in the footer."""
+    stored = footer.getFileMetaData().getKeyValueMetaData().get("ARROW:schema")
+    if stored is None:
+        return {}
+    schema = pa.ipc.read_schema(pa.py_buffer(base64.b64decode(stored)))
+    return {f.name: {k.decode(): v.decode() for k, v in f.metadata.items() if not k.startswith(b"PARQUET:")} for f in schema if f.metadata}
+
+
+class WideParquetSource(MetricSource):
+    """Wide Parquet files, with the metadata of their columns.
+
+    Files in which a column stands for another series, or has another type, are read apart and put together as samples; there is one
+    scan for each such layout.  Metadata given in the mapping take precedence over those of the files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | Sequence[str], mapping: ColumnMapping | None = None):
+        self.spark, self.path, mapping = spark, path, mapping or ColumnMapping()
+        layouts: dict[tuple, tuple[dict, list[str]]] = {}
+        for file, footer in _footers(spark, path):
+            told = _column_metadata(footer) | mapping.metadata
+            key = footer.getFileMetaData().getSchema().toString(), tuple(sorted((c, *sorted(m.items())) for c, m in told.items()))
+            layouts.setdefault(key, (told, []))[1].append(file)
+        self.parts = [WideSource(spark.read.parquet(*files), replace(mapping, metadata=told)) for told, files in layouts.values()]
 
+    def table_for_metric(self, name: str, matchers: Sequence[Matcher] = (), time: TimeRange = TimeRange()) -> DataFrame:
+        mine = [p.table_for_metric(name, matchers, time) for p in self.parts if p.has(name)]
+        if not mine:
+            raise DataSourceError(f"no metric {name!r}")
+        labels = sorted({c for df in mine for c in df.columns if c not in ("timestamp", "value")})
+        full = [df.select("timestamp", "value", *[q(c) if c in df.columns else F.lit("").alias(c) for c in labels]) for df in mine]
+        out = full[0]
+        for df in full[1:]:
+            out = out.unionAll(df)
+        return out
 
-def parquet_time_range(path: str, timestamp_column: str = "timestamp") -> TimeRange:
-    """First and last time in a Parquet file, from the footer's statistics; no data is read."""
-    try:
-        meta = pq.read_metadata(path)
-    except (OSError, ValueError) as e:
-        raise DataSourceError(f"cannot read {path}: {e}") from None
-    names = [meta.schema.column(i).path for i in range(meta.num_columns)]
-    if timestamp_column not in names:
-        raise DataSourceError(f"no column {timestamp_column!r}")
-    stats = [meta.row_group(g).column(names.index(timestamp_column)).statistics for g in range(meta.num_row_groups)]
-    if not stats or any(s is None or not s.has_min_max for s in stats):
+    def list_metrics(self, matcher: Matcher | None = None) -> list[MetricMeta]:
+        names: dict[str, set[str]] = {}
+        for part in self.parts:
+            for m in part.list_metrics(matcher):
+                names.setdefault(m.name, set()).update(m.label_names)
+        return [MetricMeta(n, tuple(sorted(names[n]))) for n in sorted(names)]
+
+
+def parquet_time_range(path: str | Sequence[str], timestamp_column: str = "timestamp", spark: SparkSession | None = None) -> TimeRange:
+    """First and last time in Parquet files, from the statistics in their footers; no data is read."""
+    ends = []
+    for file, footer in _footers(spark or SparkSession.builder.getOrCreate(), path):
+        for block in footer.getBlocks():
+            chunks = [c for c in block.getColumns() if c.getPath().toDotString() == timestamp_column]
+            if not chunks:
+                raise DataSourceError(f"no column {timestamp_column!r} in {file}")
+            stats = chunks[0].getStatistics()
+            if block.getRowCount() == 0 or (stats is not None and stats.isNumNullsSet() and stats.getNumNulls() == block.getRowCount()):
+                continue
+            if stats is None or not stats.hasNonNullValue():
+                raise DataSourceError(f"no statistics for {timestamp_column!r} in {file}")
+            ends.append((int(stats.genericGetMin()), int(stats.genericGetMax())))
+    if not ends:
         raise DataSourceError(f"no statistics for {timestamp_column!r}")
-    return TimeRange(min(int(s.min) for s in stats), max(int(s.max) for s in stats))
+    return TimeRange(min(a for a, _ in ends), max(b for _, b in ends))

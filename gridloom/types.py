@@ -76,13 +76,3 @@ class Matrix:
     """Result of a range query: series sorted by labels, samples by time."""
 
     series: list[RangeSamples]
-
-
-@dataclass(frozen=True)
-class Scalar:
-    value: float
-
-
-@dataclass(frozen=True)
-class Text:
-    value: str
