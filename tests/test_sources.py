@@ -6,7 +6,7 @@ from gridloom import cli
 from gridloom.engine import Engine
 from gridloom.errors import DataSourceError
 from gridloom.sources.wide import ColumnMapping, WideParquetSource, WideSource, parquet_time_range, parse_column
-from gridloom.types import Matcher
+from gridloom.types import Matcher, TimeRange
 
 S = 10**9
 
@@ -14,11 +14,11 @@ S = 10**9
 @pytest.mark.parametrize(
     "column, metadata, expected",
     [
-        ("cpu_cores", None, ("cpu_cores", {})),
-        ("softirq/net_rx/0", None, ("softirq", {"op": "net_rx", "id": "0"})),
-        ("blockio/read", None, ("blockio", {"op": "read"})),
+        ("cores", None, ("cores", {})),
+        ("irq_served/disk/4", None, ("irq_served", {"op": "disk", "id": "4"})),
+        ("spool/merge", None, ("spool", {"op": "merge"})),
         ("c///1", None, ("c", {"cgroup": "/", "id": "1"})),
-        ("c//system.slice/foo.service/10", None, ("c", {"cgroup": "/system.slice/foo.service", "id": "10"})),
+        ("c//jobs/nightly/77", None, ("c", {"cgroup": "/jobs/nightly", "id": "77"})),
         ("c//alone", None, ("c", {})),
         ("lat/read:buckets", None, ("lat", {"op": "read"})),
         ("x1:buckets", {"unit": "ns", "op": "r"}, ("x1", {"op": "r"})),
@@ -86,3 +86,20 @@ def test_command_line(spark, telemetry, capsys):
     out = capsys.readouterr().out
     assert "cpu=0" in out and "*" in out
     assert cli.main(["plot", "-f", telemetry, "cycles", "-t", "9000"]) == 0 and "no data" in capsys.readouterr().out
+
+
+def test_many_files_with_differing_footers(spark, tmp_path):
+    """In one file a column stands for another series than in the next; nothing of one file's metadata reaches the other, nor the mapping given."""
+    folder = tmp_path / "wide"
+    folder.mkdir()
+    for k, (meta, kind) in enumerate([({"metric": "m", "zone": "a"}, pa.float64()), ({"metric": "m", "side": "b"}, pa.int64()), (None, pa.float64()), ({"metric": "m", "zone": "a"}, pa.float64())]):
+        schema = pa.schema([pa.field("timestamp", pa.int64()), pa.field("c", kind, metadata=meta)])
+        pq.write_table(pa.Table.from_arrays([pa.array([(k + 1) * S]), pa.array([10 * (k + 1)], kind)], schema=schema), str(folder / f"{k}.parquet"))
+    mapping = ColumnMapping()
+    source = WideParquetSource(spark, str(folder), mapping)
+    assert mapping == ColumnMapping() and len(source.parts) == 3
+    assert [(m.name, m.label_names) for m in source.list_metrics()] == [("c", ()), ("m", ("side", "zone"))]
+    engine = Engine(source)
+    assert {(s.labels.get("zone"), s.labels.get("side"), s.value) for s in engine.instant_query("m", 4 * S).samples} == {("a", None, 40), (None, "b", 20)}
+    assert {s.value for s in engine.instant_query('m{zone=""}', 4 * S).samples} == {20} and {s.value for s in engine.instant_query("c", 4 * S).samples} == {30}
+    assert parquet_time_range(str(folder)) == TimeRange(S, 4 * S) and parquet_time_range(str(folder / "[12].parquet")) == TimeRange(2 * S, 3 * S)
