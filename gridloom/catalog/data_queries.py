@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.drift import long_table, schema_changes
 from gridloom.operators.regular_grid import missing_steps, regular_grid
 from gridloom.operators.spikes import implausible
-from gridloom.operators.trailing import silent_windows, trailing_totals
+from gridloom.operators.trailing import DAY_NS, silent_windows, trailing_totals
 from gridloom.shared import table
 
 def evaluation(spark: SparkSession, sf_dir: str, name: str) -> dict[str, int]:
@@ -28,7 +28,10 @@ def p1_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     week, month = (evaluation(spark, sf_dir, n) for n in ("trailing_7d", "trailing_30d"))
     windows = [p["range_ns"] // p["step_ns"] for p in (week, month)]
-    return trailing_totals(table(spark, sf_dir, "range_samples"), week["end_ns"], windows)
+    totals = trailing_totals(table(spark, sf_dir, "range_samples"), max(week["end_ns"], month["end_ns"]), windows)
+    # each window up to the last day of its own evaluation
+    last = F.create_map(*[x for w, p in zip(windows, (week, month), strict=True) for x in (F.lit(w).cast("int"), F.lit(p["end_ns"] // DAY_NS).cast("int"))])
+    return totals.where(F.unix_date("day") <= last[F.col("window_days")])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +88,7 @@ days AS (SELECT series_id, unnest(range(f, (SELECT max(last_day) FROM p) + 1)) A
 rolled AS (
   SELECT days.series_id, days.d, p.w, coalesce(sum(daily.n), 0) AS n, coalesce(sum(daily.total), 0) AS total
   FROM days CROSS JOIN p LEFT JOIN daily ON daily.series_id = days.series_id AND daily.d > days.d - p.w AND daily.d <= days.d
-  GROUP BY 1, 2, 3)
+  WHERE days.d <= p.last_day GROUP BY 1, 2, 3)
 """
 
 _GRID = """

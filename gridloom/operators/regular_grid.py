@@ -45,10 +45,10 @@ def regular_grid(
     ).where(F.col("s").isNotNull() & F.col("ts").between(start_ns, end_ns) & F.col("v").isNotNull() & ~F.isnan("v"))
     # the first step at or after a reading; its distance from the start is never negative
     r = r.withColumn("k", F.expr(f"(ts - {start_ns}L + {step_ns - 1}L) div {step_ns}L"))
-    buckets = r.groupBy("s", "k").agg(F.max(F.struct("ts", "a", "i", "v")).alias("last")).select("s", "k", F.col("last.ts").alias("ts"), F.col("last.v").alias("v"))
-    # from the readings, not the buckets: combined map-side to one row per source and partition
-    spans = r.groupBy("s").agg(F.min("ts").alias("f"), F.max("ts").alias("l"))
-    spans = spans.selectExpr("s", f"(f - {start_ns}L + {step_ns - 1}L) div {step_ns}L AS k0", f"(l - {start_ns}L) div {step_ns}L AS k1").where("k1 >= k0")
+    buckets = r.groupBy("s", "k").agg(F.max(F.struct("ts", "a", "i", "v")).alias("last")).where(F.col("k").isNotNull()).select("s", "k", F.col("last.ts").alias("ts"), F.col("last.v").alias("v"))
+    # the first bucket is the first step, the last reading of all decides on the last one; the shuffled buckets are read twice, the table once
+    spans = buckets.groupBy("s").agg(F.min("k").alias("k0"), F.max("ts").alias("l"))
+    spans = spans.selectExpr("s", "k0", f"(l - {start_ns}L) div {step_ns}L AS k1").where("k1 >= k0")
     steps = spans.select("s", F.explode(F.sequence("k0", "k1")).alias("k"))
     joined = steps.join(buckets, ["s", "k"], "left")
     over = Window.partitionBy("s").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)

@@ -86,8 +86,11 @@ def trailing_totals(blocks: DataFrame, last_day_ns: int, windows: Sequence[int]
         .groupBy("entity", "d")
         .agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
     )
-    calendar = daily.groupBy("entity").agg(F.min("d").alias("first")).select("entity", F.explode(F.sequence("first", F.lit(last_day).cast("int"))).alias("d"))
-    dense = calendar.join(daily, ["entity", "d"], "left").select("entity", "d", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
+    # the calendar: each active day and the quiet ones up to the next
+    until = F.coalesce(F.lead("d").over(Window.partitionBy("entity").orderBy("d")) - 1, F.lit(last_day).cast("int"))
+    spans = daily.withColumn("until", until).select("entity", "d", "total", "n", F.posexplode(F.sequence("d", "until")).alias("quiet", "day"))
+    active = lambda c, nothing: F.when(F.col("quiet") == 0, F.col(c)).otherwise(F.lit(nothing)).alias(c)
+    dense = spans.select("entity", F.col("day").alias("d"), active("total", 0.0), active("n", 0))
     rolled = doubling_windows(dense, "entity", "d", ["total", "n"], windows)
     rows = F.array(*[F.struct(F.lit(w).cast("int").alias("w"), F.col(f"total_{w}").alias("total"), F.col(f"n_{w}").alias("n")) for w in dict.fromkeys(windows)])
     flat = rolled.select("entity", "d", F.inline(rows))
