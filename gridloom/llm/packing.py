@@ -8,26 +8,26 @@ of the matched run (rank settles every conflict), the runs' gaps are updated, an
 no gap opens new containers.  Sizes are bounded by the capacity, so the sweep runs on at most
 ``capacity`` runs of items, however many documents there are: one task per capacity.
 
-Distributed around it: token counts, the rank of each item among those of its size (in salted
-parts, so that a size shared by a third of all rows is spread), the histogram, and the
-application of the matched runs to the ranked items.
+Distributed around it: token counts, the rank of each item among those of its size (counted within each part of the table, with the
+counts of the parts before as offset: nothing is sorted, and a size shared by a third of all rows is spread over its parts),
+the histogram, and the application of the matched runs, of which each part gets those its ranks fall into.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.encoding import TOKENIZERS, count_tokens
 from gridloom.shared import settle
 
-#: Parts into which the items of one size are split for ranking.
-SALTS = 64
-
 
 def best_fit_runs(sizes: Sequence[int], counts: Sequence[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Matched runs (size, first rank, last rank, first container, items per container).
@@ -81,9 +81,9 @@ def best_fit_runs(sizes: Sequence[int], counts: Sequence[int], capacity: int) ->
     return out
 
 
-def _sweep(capacities: dict[str, int]):
+def _sweep(capacities: list[int]):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kind = frame["kind"].iloc[0]
+        kind = int(frame["kind"].iloc[0])
         rows = best_fit_runs(frame["size"].tolist(), frame["n"].tolist(), capacities[kind])
         out = pd.DataFrame(rows, columns=["size", "from", "to", "container", "per"])
         out.insert(0, "kind", kind)
@@ -92,6 +92,25 @@ def _sweep(capacities: dict[str, int]):
     return run
 
 
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item with its part (of the table) and its rank among the part's items of its kind and size, in the order they come.
+
+    What is kept is one number for each kind and size.
+    """
+    part, seen = TaskContext.get().partitionId(), {}
+    for batch in batches:
+        kind, size = (np.asarray(batch.column(c)).astype("int64") for c in ("kind", "size"))
+        group, at, n = np.unique(kind << 40 | size, return_inverse=True, return_counts=True)
+        order = np.argsort(at, kind="stable")
+        start = np.cumsum(n) - n
+        i = np.empty(len(at), dtype="int64")
+        i[order] = np.arange(len(at)) - start[at[order]]
+        i += np.array([seen.get(g, 0) for g in group.tolist()], dtype="int64")[at] if len(at) else 0
+        for g, k in zip(group.tolist(), n.tolist(), strict=True):
+            seen[g] = seen.get(g, 0) + k
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(at), part, dtype="int32")), pa.array(i)], names=[*batch.schema.names, "part", "i"])
+
+
 def fill_containers(sizes: DataFrame, capacities: dict[str, int], key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """Each document's container, for each kind of container.
 
@@ -102,24 +121,33 @@ def fill_containers(sizes: DataFrame, capacities: dict[str, int], key: str = "do
     """
     if any(c < 1 for c in capacities.values()):
         raise ValueError("a capacity must be positive")
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(int(c)).cast("long").alias("capacity")) for k, c in capacities.items()])
-    items = sizes.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("all"), F.inline(kinds))
+    names = list(capacities)
+    if not names:
+        raise ValueError("no kind of container is given")
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(int(capacities[k])).cast("long").alias("capacity")) for i, k in enumerate(names)])
+    # settled, so that every reading of it has the same rows in the same parts and order
+    whole = settle(sizes.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("all")))
+    items = whole.select("key", "all", F.inline(kinds))
     last = F.greatest(F.lit(0), F.floor((F.col("all") - 1) / F.col("capacity"))).cast("int")
     items = items.select("kind", "key", "all", "capacity", F.explode(F.sequence(F.lit(0), last)).alias("part_no"))
-    items = items.select("kind", "key", "part_no", F.least(F.col("capacity"), F.col("all") - F.col("part_no") * F.col("capacity")).alias("size"), F.pmod(F.xxhash64("key", "part_no"), F.lit(SALTS)).cast("int").alias("salt"))
-    counts = items.groupBy("kind", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("kind", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("kind", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = items.withColumn("i", F.row_number().over(Window.partitionBy("kind", "size", "salt").orderBy("key", "part_no")))
-    ranked = ranked.join(offsets, ["kind", "size", "salt"]).withColumn("rank", F.col("i") - 1 + F.col("offset"))
+    items = items.select("kind", "key", "part_no", F.least(F.col("capacity"), F.col("all") - F.col("part_no") * F.col("capacity")).alias("size"))
+    key_type = dict(whole.dtypes)["key"]
+    ranked = items.mapInArrow(_ranked, f"kind int, key {key_type}, part_no int, size long, part int, i long")
+    counts = ranked.groupBy("kind", "size", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = counts.groupBy("kind", "size").agg(F.sum("n").alias("n"))
-    matched = histogram.groupBy("kind").applyInPandas(_sweep(dict(capacities)), "kind string, size long, `from` long, `to` long, container long, per long")
-    packed = matched.groupBy("kind", "size").agg(F.array_sort(F.collect_list(F.struct("from", "to", "container", "per"))).alias("runs"))
-    placed = ranked.join(packed, ["kind", "size"])
+    runs = histogram.groupBy("kind").applyInPandas(_sweep([int(capacities[k]) for k in names]), "kind int, size long, `from` long, `to` long, container long, per long")
+    before = Window.partitionBy("kind", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # of the runs of a size, each part gets those that its own ranks fall into
+    lists = runs.groupBy("kind", "size").agg(F.array_sort(F.collect_list(F.struct("to", "from", "container", "per"))).alias("runs"))
+    first, last = F.col("offset"), F.col("offset") + F.col("n") - 1
+    mine = offsets.join(lists, ["kind", "size"]).select("kind", "size", "part", "offset", F.filter("runs", lambda r: (r["to"] >= first) & (r["from"] <= last)).alias("runs"))
+    placed = ranked.join(mine, ["kind", "size", "part"]).withColumn("rank", F.col("offset") + F.col("i"))
     run = F.element_at(F.filter("runs", lambda r: (r["from"] <= F.col("rank")) & (F.col("rank") <= r["to"])), 1)
     placed = placed.withColumn("run", run)
     container = F.col("run.container") + F.floor((F.col("rank") - F.col("run.from")) / F.col("run.per")).cast("long")
-    return placed.select(F.col("kind").alias("bin_kind"), F.col("key").alias(key), "part_no", F.col("size").alias("n_tokens"), container.alias("container_id"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in names]), F.col("kind") + 1)
+    return placed.select(kind.alias("bin_kind"), F.col("key").alias(key), "part_no", F.col("size").alias("n_tokens"), container.alias("container_id"))
 
 
 def pack_documents(documents: DataFrame, bins: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -132,8 +160,7 @@ def pack_documents(documents: DataFrame, bins: DataFrame, folder: str = TOKENIZE
     for row in bins.collect():
         by_tokenizer.setdefault(row["tokenizer"], {})[row["bin_kind"]] = row["capacity_tokens"]
     for tokenizer, capacities in by_tokenizer.items():
-        sizes = settle(count_tokens(documents, tokenizer, folder))
-        part = fill_containers(sizes, capacities)
+        part = fill_containers(count_tokens(documents, tokenizer, folder), capacities)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no kind of container is given")
