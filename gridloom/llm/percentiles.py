@@ -25,6 +25,7 @@ error of at most n/K.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 from math import ceil, isqrt
@@ -226,12 +227,15 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))].astype("int64")
 
 
-def _thin(group: pa.Table) -> pa.Table:
-    """The proposals of one range and salt, thinned."""
-    m, w = (np.concatenate([c.flatten().to_numpy() for c in group.column(x).chunks]) for x in ("m", "w"))
-    m, w, e = thinned(m, w, pa.compute.sum(group.column("e")).as_py(), UPPER_PIECES)
-    one = group.slice(0, 1)
-    return pa.table([one.column(c) for c in ("kind", "key", "seg", "salt")] + [_lists([m], pa.float64()), _lists([w], pa.int64()), pa.array([e])], names=["kind", "key", "seg", "salt", "m", "w", "e"])
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The proposals of each range and salt, thinned where they are many."""
+    for batch in batches:
+        (m, at), (w, _) = _flat(batch.column("m")), _flat(batch.column("w"))
+        errors = batch.column("e").to_pylist()
+        lists = [(m[a:b], w[a:b], e) for a, b, e in zip(at, at[1:], errors, strict=False)]
+        lists = [thinned(*x, UPPER_PIECES) if len(x[0]) > UPPER_PIECES else x for x in lists]
+        told = [_lists([x[0] for x in lists], pa.float64()), _lists([x[1] for x in lists], pa.int64()), pa.array([x[2] for x in lists], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("kind", "key", "seg", "salt")], *told], names=["kind", "key", "seg", "salt", "m", "w", "e"])
 
 
 def _count(pieces: int):
@@ -318,19 +322,15 @@ def narrow(segments: list[dict], seg: list[int], pivots: list[float], below: lis
     out: list[dict] = []
     found: list[dict] = []
     for s, part in enumerate(segments):
-        mine = [i for i, k in enumerate(seg) if k == s]
+        a, b = bisect_left(seg, s), bisect_right(seg, s)
+        upto = [x + y for x, y in zip(below[a:b], equal[a:b], strict=True)]
         for r in part["ranks"]:
-            lo, hi, skipped, cap = part["lo"], part["hi"], 0, part["left"]
-            for i in mine:
-                if r["rank"] <= below[i]:
-                    hi, cap = pivots[i], below[i]
-                    break
-                if r["rank"] <= below[i] + equal[i]:
-                    found.append({"q": r["q"], "value": pivots[i]})
-                    break
-                lo, skipped = pivots[i], below[i] + equal[i]
-            if found and found[-1]["q"] == r["q"]:
+            i = bisect_left(upto, r["rank"])
+            if i < len(upto) and r["rank"] > below[a + i]:
+                found.append({"q": r["q"], "value": pivots[a + i]})
                 continue
+            hi, cap = (pivots[a + i], below[a + i]) if i < len(upto) else (part["hi"], part["left"])
+            lo, skipped = (pivots[a + i - 1], upto[i - 1]) if i else (part["lo"], 0)
             target = {"q": r["q"], "rank": r["rank"] - skipped}
             if out and (out[-1]["lo"], out[-1]["hi"]) == (lo, hi):
                 out[-1]["ranks"].append(target)
@@ -343,13 +343,12 @@ def gaps_between(bounds: list[tuple[float | None, float | None]], segments: list
     """The gaps between neighbouring pivots (or ends of their range) in which a rank may lie: ``bounds`` has those of each rank of each range."""
     out, k = [], 0
     for s, part in enumerate(segments):
-        ends = [part["lo"], *[p for p, x in zip(pivots, seg, strict=True) if x == s], part["hi"]]
-        own = bounds[k : k + len(part["ranks"])]
+        own = pivots[bisect_left(seg, s) : bisect_right(seg, s)]
+        ends, wanted = [part["lo"], *own, part["hi"]], set()
+        for lo, hi in bounds[k : k + len(part["ranks"])]:
+            wanted.update(range(0 if lo is None else bisect_right(own, lo), (len(own) if hi is None else bisect_left(own, hi)) + 1))
         k += len(part["ranks"])
-        for lo, hi in zip(ends, ends[1:], strict=False):
-            # a gap counts unless it lies wholly on one side of the bounds
-            if any(not ((a is not None and hi is not None and hi <= a) or (b is not None and lo is not None and lo >= b)) for a, b in own):
-                out.append((lo, hi))
+        out += [(ends[j], ends[j + 1]) for j in sorted(wanted)]
     return out
 
 
@@ -426,7 +425,8 @@ def grouped_percentiles(values: DataFrame, sets: Sequence[Sequence[str]], probab
     proposed = source.mapInArrow(_first_proposals(columns, pieces), _PROPOSED)
     told, answers, counted = None, None, None
     while True:
-        few = proposed.groupBy(*group, "seg", "salt").applyInArrow(_thin, _PROPOSED)
+        few = proposed.groupBy(*group, "seg", "salt").agg(F.collect_list(F.struct("m", "w")).alias("l"), F.sum("e").alias("e"))
+        few = few.select(*group, "seg", "salt", F.flatten("l.m").alias("m"), F.flatten("l.w").alias("w"), "e").mapInArrow(_thin, _PROPOSED)
         lists = few.groupBy(*group).agg(F.collect_list(F.struct("seg", "m", "w", "e")).alias("l"))
         if told is None:
             wanted = lists.select(*group, *[F.lit(None).cast(_STATE_TYPES[c]).alias(c) for c in ("n", "segments", "seg", "pivots", "glo", "ghi")], F.lit(None).cast(_COUNTS).alias("c"), "l")
