@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.encoding import encode_corpus
+from gridloom.llm.encoding import decode_corpus, encode_corpus
 from gridloom.llm.mojibake import garbled_documents
 from gridloom.llm.packing import fill_report, pack_documents
 from gridloom.llm.percentiles import combine_summaries, equi_rank_summary, grouped_percentiles
@@ -40,6 +40,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_documents(spark, sf_dir))
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, from their ids: the way back is exact."""
+    return decode_corpus(encode_corpus(_documents(spark, sf_dir)))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), table(spark, sf_dir, "pack_bins"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_combined": p3_combined,
     "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
@@ -71,6 +77,7 @@ QUERIES = {
 _READINGS = "SELECT __name__, job, CAST(timestamp_ns // 86400000000000 AS VARCHAR) AS day, value FROM instant_samples WHERE value IS NOT NULL AND NOT isnan(value)"
 
 ORACLE: dict[str, str] = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_percentiles": f"""
 WITH r AS ({_READINGS}),
 q AS (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]::DOUBLE[]) AS q),
