@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.drift import long_table, schema_changes
+from gridloom.operators.drift import catalogue, lifespans, long_table, numbered_files, payload_fields, schema_changes
 from gridloom.operators.regular_grid import missing_steps, regular_grid
 from gridloom.operators.spikes import implausible
 from gridloom.operators.trailing import DAY_NS, silent_windows, trailing_totals
@@ -51,6 +51,13 @@ def p4_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_table(table(spark, sf_dir, "wide_files"), table(spark, sf_dir, "wide_records"))
 
 
+def p4_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per agent and field, the numbers of the first and the last file of each island of presence."""
+    numbered = numbered_files(table(spark, sf_dir, "wide_files"))
+    spans = lifespans(catalogue(numbered, payload_fields(table(spark, sf_dir, "wide_records"))))
+    return spans.where(F.col("n") == F.col("life")).select("agent", "field", F.col("life").alias("first_file"), F.col("until").alias("last_file"))
+
+
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = evaluation(spark, sf_dir, "grid_10m")
     return regular_grid(table(spark, sf_dir, "instant_samples"), p["start_ns"], p["end_ns"], p["step_ns"], p["lookback_ns"])
@@ -71,6 +78,7 @@ QUERIES = {
     "p2_totals": p2_totals,
     "p4_found": p4_found,
     "p4_long": p4_long,
+    "p4_lifespans": p4_lifespans,
     "p5_found": p5_found,
     "p5_grid": p5_grid,
 }
@@ -110,6 +118,14 @@ ORACLE = {
     "p2_totals": _ACTIVE
     + """SELECT series_id, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day_utc, w AS window_days, CAST(n AS BIGINT) AS n_samples,
   round(CAST(total AS DOUBLE), 6) AS total, round(CASE WHEN n > 0 THEN total / n END, 6) AS average, round(total / w, 6) AS daily_average FROM rolled""",
+    "p4_lifespans": """
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY written_at NULLS FIRST, file_id) AS n FROM wide_files WHERE file_id IS NOT NULL),
+k AS (
+  SELECT DISTINCT file_id, unnest(json_keys(payload)) AS field FROM (SELECT file_id, payload FROM wide_records WHERE json_valid(payload)) WHERE json_type(payload) = 'OBJECT'),
+c AS (
+  SELECT agent, field, n, n - row_number() OVER (PARTITION BY agent, field ORDER BY n) AS island FROM k JOIN f USING (file_id)
+  WHERE field IS DISTINCT FROM timestamp_column AND NOT list_contains(coalesce(ignore_columns, []), field))
+SELECT agent, field, CAST(min(n) AS INTEGER) AS first_file, CAST(max(n) AS INTEGER) AS last_file FROM c GROUP BY agent, field, island""",
     "p5_found": _GRID + "SELECT series_id, t AS step_ts_ns FROM g, p WHERE ts IS NULL OR t - ts > lookback_ns",
     "p5_grid": _GRID
     + """SELECT series_id, t AS step_ts_ns, CASE WHEN t - ts <= lookback_ns THEN v END AS value, CASE WHEN t - ts <= lookback_ns THEN ts END AS reading_ts_ns,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime, timezone
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from gridloom.errors import ExecutionError, PlanError
 from gridloom.lang.nodes import Node
@@ -47,15 +48,42 @@ class Engine:
         return self.range_frame(query, start, end, step_ns).df
 
     def instant_query(self, query: str | Node, time: int | datetime) -> Vector:
-        return Vector([InstantSample(labels, t, v) for labels, t, v in self._rows(self.instant_frame(query, time))])
+        frame = self.instant_frame(query, time)
+        return self.vector(frame, self.execute(frame))
 
     def range_query(self, query: str | Node, start: int | datetime, end: int | datetime, step_ns: int) -> Matrix:
+        frame = self.range_frame(query, start, end, step_ns)
+        return self.matrix(frame, self.execute(frame))
+
+    # -- the steps of a query one by one: a frame is the logical plan
+
+    @staticmethod
+    def plans(frame: SeriesFrame) -> dict[str, str]:
+        """The texts of a frame's logical, optimized and physical plan; nothing runs."""
+        q = frame.df._jdf.queryExecution()
+        return {"logical": q.analyzed().toString(), "optimized": q.optimizedPlan().toString(), "physical": q.executedPlan().toString()}
+
+    @staticmethod
+    def execute(frame: SeriesFrame) -> list[Row]:
+        """The result's rows, on the driver; for results too large for it, use the frame's ``df``."""
+        try:
+            return frame.df.collect()
+        except PySparkException as e:
+            raise ExecutionError(str(e)) from e
+
+    @staticmethod
+    def vector(frame: SeriesFrame, rows: Iterable[Row]) -> Vector:
+        """Rows of an instant frame as a vector, without empty labels."""
+        return Vector([InstantSample({x: r[x] for x in frame.labels if r[x]}, r["timestamp"], r["value"]) for r in rows])
+
+    @staticmethod
+    def matrix(frame: SeriesFrame, rows: Iterable[Row]) -> Matrix:
+        """Rows of a range frame as a matrix: series sorted by labels, samples by time."""
         series: dict[tuple, RangeSamples] = {}
-        for labels, t, v in self._rows(self.range_frame(query, start, end, step_ns)):
-            key = tuple(sorted(labels.items()))
-            series.setdefault(key, RangeSamples(labels)).samples.append(Sample(t, v))
-        for s in series.values():
-            s.samples.sort(key=lambda x: x.timestamp_ns)
+        for s in Engine.vector(frame, rows).samples:
+            series.setdefault(tuple(sorted(s.labels.items())), RangeSamples(s.labels)).samples.append(Sample(s.timestamp_ns, s.value))
+        for r in series.values():
+            r.samples.sort(key=lambda x: x.timestamp_ns)
         return Matrix([series[k] for k in sorted(series)])
 
     def _planner(self, grid: Grid) -> Planner:
@@ -64,13 +92,3 @@ class Engine:
     @staticmethod
     def _tree(query: str | Node) -> Node:
         return parse(query) if isinstance(query, str) else query
-
-    @staticmethod
-    def _rows(frame: SeriesFrame):
-        """Result rows as (labels without empty ones, time, value)."""
-        try:
-            rows = frame.df.collect()
-        except PySparkException as e:
-            raise ExecutionError(str(e)) from e
-        for r in rows:
-            yield {x: r[x] for x in frame.labels if r[x]}, r["timestamp"], r["value"]

@@ -229,3 +229,12 @@ def test_counters_with_nan(spark):
     engine = Engine(InMemorySource(spark, {"m": long(spark, "m", ["x"], [(S, 5, "a"), (2 * S, float("nan"), "a"), (3 * S, 9, "a"), (4 * S, 11, "a")])}))
     # after NaN a counter starts anew
     assert instant(engine, "irate(m[2s])", 4 * S) == {(("x", "a"),): 2} and instant(engine, "increase(m[1s])", 3 * S) == {(("x", "a"),): 9}
+
+
+def test_a_query_step_by_step(engine):
+    frame = engine.range_frame("sum by (job) (frames_total)", 5 * S, 6 * S, S)
+    plans = engine.plans(frame)
+    assert set(plans) == {"logical", "optimized", "physical"} and "Aggregate" in plans["logical"] and "HashAggregate" in plans["physical"]
+    rows = engine.execute(frame)
+    assert engine.matrix(frame, rows) == engine.range_query("sum by (job) (frames_total)", 5 * S, 6 * S, S)
+    assert {s.labels["job"]: s.value for s in engine.vector(frame, [r for r in rows if r["timestamp"] == 6 * S]).samples} == {"batch": 252, "ui": 24}
