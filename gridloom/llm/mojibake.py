@@ -34,8 +34,9 @@ LINE_ODDS, BROKEN_ODDS = 3.0, 20.0
 MISREAD = frozenset("¢£€¥ßﬀﬁ")
 #: Log-odds by which Greek and Cyrillic words must read better.
 BETTER_ODDS = 10.0
-#: Log-odds of the distinct words of a document after a single-byte chain against those before that leave no doubt.
-PAGE_ODDS = 15.0
+#: Log-odds of the distinct words of a document after a single-byte chain against those before that leave no doubt: if all words
+#: before are such as text has (a chain may turn capitals into other letters), and if some are odd.
+PAGE_ODDS, ODD_PAGE_ODDS = 15.0, 5.0
 SMOOTHING = 0.3
 #: Prior log-odds of a clean line.
 PRIOR = 5.0
@@ -377,7 +378,8 @@ def _mends(model: Classifier, odd: list[str], done: set[int], table: np.ndarray,
     broken = sum(_breaks(a, b) for a, b in pairs.items())
     words_say = bool(marks - MISREAD) and (len(good) >= MENDED_ALIKE or (len(good) >= MENDED_WORDS and len(marks) >= 2))
     words_say = words_say and sum(gains[i] for i in mended) > 0
-    if not (words_say or (weight > PAGE_ODDS and broken * 4 <= len(pairs))):
+    needed = PAGE_ODDS if all(_plain_word(_core(a)) for a in pairs) else ODD_PAGE_ODDS
+    if not (words_say or (weight > needed and broken * 4 <= len(pairs))):
         return None
     for i, back in backs.items():
         if i not in mended and gains[i] > 0 and not _RULES.search(back):

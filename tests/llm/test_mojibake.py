@@ -149,3 +149,15 @@ def test_the_sample_is_no_prefix(monkeypatch):
     monkeypatch.setattr(Classifier, "train", classmethod(lambda cls, lines, count, train=Classifier.train: seen.append(lines) or train(lines)))
     train_on([f"{c}{k} café" for c in "abcdefghijklmnopqrstuvwxyz" for k in range(20)])
     assert len(seen[0]["western"]) == 50 and len({x[0] for x in seen[0]["western"]}) > 15
+
+
+def test_a_single_odd_line_is_enough_but_capitals_are_no_evidence():
+    """Ä and Ü begin few words, which a chain could turn into words with é and ö; that alone is no case."""
+    rng = random.Random(1)
+    rare = ["Die Übung der Ärzte", "Über die Ärzte"]
+    model = train_on([page(rng, s) + (f"\n{rng.choice(rare)} {k}" if k % 20 == 0 else "") for s in WORDS for k in range(150)])
+    clean = "\n".join(["Straße und größer, für Mädchen"] * 3 + ["the house and market"])
+    assert list(_inspect_many(model, [clean + "\nJeder Ärzte begann. Über Dorf"])) == []
+    one = garble("la façade déjà élève forêt", (("cp1252", "cp850"),))
+    found = list(_inspect_many(model, [clean + "\n" + one]))
+    assert found and found[0][1][1].endswith("la façade déjà élève forêt")
