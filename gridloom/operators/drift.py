@@ -11,7 +11,7 @@
 4. Types are compared along a lifespan, across a rename with the lifespan before; fields that are only null keep
    their type.  Labels are compared per metric between headers.
 5. The renames form an alias table, with the cast that fits all types of a series; all records are read with it into one table
-   in the long schema.
+   in the long schema: numbers, texts that hold one, and the elements of lists, each list element as a series of its own.
 
 Scale: records are reduced to the catalogue before anything is sorted; a producer with a third of all
 records is spread by file and field.  What is matched in Python is only the columns of two successive files.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.shared import settle
@@ -36,23 +36,40 @@ _HEADER = "array<struct<name: string, type: string, metadata: map<string, string
 #: A new field's first value carries on an old one's last if they differ by less than this share, and, where the names
 #: don't agree, by no more than so many times what either moves within a file.
 CARRY_ON, MOVES = 0.25, 2.0
+#: A text that holds a number (1), with a decimal point or comma, and perhaps a unit (2).
+_NUMBER = r"^\s*([-+]?\d*[.,]?\d+(?:[eE][-+]?\d+)?)\s*([\p{L}%°][^\s\d,;:]*)?\s*$"
+
+
+def _ignored() -> Column:
+    return F.coalesce(F.array_compact("ignore_columns"), F.array().cast("array<string>"))
+
+
+def _number(text: Column) -> Column:
+    """The number that a text holds, as double."""
+    return F.coalesce(text.try_cast("double"), F.replace(F.regexp_extract(text, _NUMBER, 1), F.lit(","), F.lit(".")).try_cast("double"))
+
+
+def _broken(text: Column) -> Column:
+    """Whether a text holds a number that isn't written as a whole one."""
+    return F.when(_number(text).isNotNull(), ~F.regexp_extract(text, _NUMBER, 1).rlike(r"^[-+]?\d+$")).otherwise(False)
 
 
 def numbered_files(files: DataFrame) -> DataFrame:
     """The files with their number ``n`` (1, 2, ...) within their agent, ordered by written_at, then file_id."""
     over = Window.partitionBy("agent").orderBy(F.col("written_at").asc_nulls_first(), "file_id")
     kept = files.where(F.col("file_id").isNotNull())
-    return kept.select("file_id", "agent", "timestamp_column", F.coalesce("ignore_columns", F.array().cast("array<string>")).alias("ignored"), F.from_json("header", _HEADER).alias("header"), F.row_number().over(over).alias("n"))
+    return kept.select("file_id", "agent", "timestamp_column", _ignored().alias("ignored"), F.from_json("header", _HEADER).alias("header"), F.row_number().over(over).alias("n"))
 
 
-def payload_fields(records: DataFrame) -> DataFrame:
+def payload_fields(records: DataFrame, **more: Column) -> DataFrame:
     """One row per record and field: file_id, record_id, line_no, field, kind (whole, decimal, text, list or null), number, text.
 
-    Payloads that are null or no JSON objects have no fields.
+    Payloads that are null or no JSON objects have no fields.  ``more`` are further columns, of the record and its parsed payload ``p``.
     """
-    parsed = records.select("file_id", "record_id", "line_no", F.try_parse_json("payload").alias("p")).where(F.col("p").isNotNull())
+    parsed = records.withColumn("p", F.try_parse_json("payload")).where(F.col("p").isNotNull())
+    parsed = parsed.select("file_id", "record_id", "line_no", *[c.alias(n) for n, c in more.items()], "p")
     exploded = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("p").outer()))
-    flat = exploded.where(F.col("key").isNotNull()).select("file_id", "record_id", "line_no", F.col("key").alias("field"), F.col("value").alias("v"))
+    flat = exploded.where(F.col("key").isNotNull()).select("file_id", "record_id", "line_no", *more, F.col("key").alias("field"), F.col("value").alias("v"))
     shape = F.schema_of_variant("v")
     kind = (
         F.when(shape.startswith("ARRAY"), "list")
@@ -63,24 +80,25 @@ def payload_fields(records: DataFrame) -> DataFrame:
         .otherwise("text")
     )
     text = F.expr("CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN to_json(v) ELSE CAST(v AS STRING) END")
-    return flat.select("file_id", "record_id", "line_no", "field", kind.alias("kind"), F.expr("try_cast(CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN NULL ELSE CAST(v AS STRING) END AS DOUBLE)").alias("number"), text.alias("text"))
+    return flat.select("file_id", "record_id", "line_no", *more, "field", kind.alias("kind"), F.expr("try_cast(CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN NULL ELSE CAST(v AS STRING) END AS DOUBLE)").alias("number"), text.alias("text"))
 
 
 def catalogue(numbered: DataFrame, fields: DataFrame) -> DataFrame:
-    """One row per file and field: agent, n, file_id, field, type (null if only null), first, last (numbers; of lists their sums), move (greatest less least), meta."""
+    """One row per file and field: agent, n, file_id, field, type (null if only null), first, last (numbers; of lists their sums), move (greatest less least), broken (whether some numbers are no whole ones), meta, unit."""
     kinds = [F.max(F.col("kind") == k) for k in ("list", "text", "decimal", "whole")]
     kind = F.when(kinds[0], "list").when(kinds[1], "text").when(kinds[2], "decimal").when(kinds[3], "whole")
     listed = F.filter(F.from_json("text", "array<double>"), lambda x: x.isNotNull())
     total = F.when(F.size(listed) > 0, F.aggregate(listed, F.lit(0.0), lambda a, x: a + x))
     number = F.when(F.col("kind") == "list", total).otherwise(F.col("number"))
     value = F.when(number.isNotNull(), F.struct("line_no", number.alias("number")))
-    each = fields.groupBy("file_id", "field").agg(kind.alias("type"), F.min(value)["number"].alias("first"), F.max(value)["number"].alias("last"), (F.max(number) - F.min(number)).alias("move"))
+    broken = F.when(F.col("kind") == "text", _broken(F.col("text"))).when(F.col("kind") == "list", F.exists(F.from_json("text", "array<string>"), _broken)).otherwise(F.col("kind") == "decimal")
+    each = fields.groupBy("file_id", "field").agg(kind.alias("type"), F.min(value)["number"].alias("first"), F.max(value)["number"].alias("last"), (F.max(number) - F.min(number)).alias("move"), F.max(broken).alias("broken"))
     told = numbered.select("file_id", F.explode("header").alias("h")).select("file_id", F.col("h.name").alias("field"), F.col("h.metadata").alias("m"))
     told = told.where(F.col("m").isNotNull()).dropDuplicates(["file_id", "field"])
     meta = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter("m", lambda k, v: k != "unit")))))
-    joined = each.join(numbered.select("file_id", "agent", "n", "timestamp_column", "ignored"), "file_id").join(told.select("file_id", "field", meta.alias("meta")), ["file_id", "field"], "left")
+    joined = each.join(numbered.select("file_id", "agent", "n", "timestamp_column", "ignored"), "file_id").join(told.select("file_id", "field", meta.alias("meta"), F.col("m")["unit"].alias("unit")), ["file_id", "field"], "left")
     kept = ~F.col("field").eqNullSafe(F.col("timestamp_column")) & ~F.array_contains("ignored", F.col("field"))
-    return joined.where(kept).select("agent", "n", "file_id", "field", "type", "first", "last", "move", "meta")
+    return joined.where(kept).select("agent", "n", "file_id", "field", "type", "first", "last", "move", "broken", "meta", "unit")
 
 
 def lifespans(cat: DataFrame) -> DataFrame:
@@ -287,47 +305,66 @@ def _origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def alias_table(spans: DataFrame, changes: DataFrame) -> DataFrame:
-    """For each field of each file: agent, file_id, field, origin (its first name), known_meta, and ``cast``, to which all types of the series can be cast.
+    """For each field of each file: agent, file_id, field, origin (its first name), known_meta, unit, and ``cast``, to which all types of the series can be cast.
 
-    ``cast`` is whole if all values are whole numbers, decimal if some are decimals or texts, list if some are lists.
+    ``cast`` is whole if all values and elements of lists that are numbers are whole ones, else decimal.
     """
     renames = changes.where(F.col("change_kind") == "renamed").select("agent", F.struct("n", "old_field", "new_field").alias("r"))
     aliases = renames.groupBy("agent").agg(F.collect_list("r").alias("renames")).mapInArrow(_origins, "agent string, field string, life int, origin string")
     named = spans.join(aliases, ["agent", "field", "life"], "left").withColumn("origin", F.coalesce("origin", "field"))
-    has = lambda kind: F.max(F.col("type") == kind)
-    casts = named.groupBy("agent", "origin").agg(F.when(has("list"), "list").when(has("decimal") | has("text"), "decimal").otherwise("whole").alias("cast"))
-    return named.join(casts, ["agent", "origin"]).select("agent", "file_id", "field", "origin", "known_meta", "cast")
+    cast = F.when(F.max("broken").over(Window.partitionBy("agent", "origin")), "decimal").otherwise("whole")
+    return named.select("agent", "file_id", "field", "origin", "known_meta", "unit", cast.alias("cast"))
 
 
-def _identity(name: str | None, meta: str | None) -> tuple[str | None, str]:
-    """Metric and labels (JSON, sorted) of a field, from its metadata or by the slash convention of its name."""
+def _identity(name: str | None, meta: str | None) -> tuple[str | None, str, str, str]:
+    """Metric and labels (JSON, sorted) of a field, from its metadata or by the slash convention of its name.
+
+    Then what stands before and after the position in the labels of a list's element: these have a label ``bucket`` too (``bucket_`` if there is one already).
+    """
     metric, labels = parse_column(name or "", json.loads(meta) if meta else None)
-    return metric, json.dumps({k: labels[k] for k in sorted(labels)})
+    bucket = "bucket"
+    while bucket in labels:
+        bucket += "_"
+    dump = lambda wanted: json.dumps({k: labels[k] for k in sorted(labels) if wanted(k)})
+    before, after = dump(lambda k: k < bucket)[:-1], dump(lambda k: k > bucket)[1:]
+    return metric, dump(lambda k: True), before + ", " * (len(before) > 1) + f'"{bucket}": "', '"' + ", " * (len(after) > 1) + after
 
 
 def long_table(files: DataFrame, records: DataFrame) -> DataFrame:
     """All records as one table in the long schema.
 
-    Returns agent, file_id, line_no, timestamp_ns, ``__name__``, labels (JSON, sorted keys), value, exact.  Renamed fields keep the identity of
+    Returns agent, file_id, line_no, timestamp_ns, ``__name__``, labels (JSON, sorted keys), value, exact, text.  Renamed fields keep the identity of
     their origin.  Values are read by the cast of the alias table: series of whole numbers as decimal(38,0) (``exact``; null for others) and as the double
-    next to it, all others as double; lists and values that are no numbers are left out, as are nulls; lines stored twice count once; a file
-    delivered again under the same path counts once (the first by written_at, arrived_at, file_id).
+    next to it, all others as double.  Each element of a list is a row, with its position (0, 1, ...) as the label ``bucket``.  Texts may have a decimal
+    comma and a unit, which is not converted; a unit other than the header's, or a text without a number, leaves ``value`` null.  What is not plainly a number
+    stays readable in ``text``.  Only nulls, empty lists and records of unknown files have no rows; ``timestamp_ns`` is null where a record has no valid one.
+
+    A value counts once if it is stored again with the same file path, line and time (for the first file by written_at, arrived_at, file_id).
     """
     numbered = settle(numbered_files(files))  # the headers are parsed once
-    fields = payload_fields(records)
-    spans = settle(lifespans(catalogue(numbered, fields)))
+    spans = settle(lifespans(catalogue(numbered, payload_fields(records))))
     named = alias_table(spans, field_changes(spans, numbered))
-    first = Window.partitionBy("agent", "path").orderBy("written_at", "arrived_at", "file_id")
-    kept = files.withColumn("i", F.row_number().over(first)).where((F.col("i") == 1) | F.col("path").isNull()).select("file_id", "timestamp_column")
-    once = fields.join(kept, "file_id").dropDuplicates(["file_id", "line_no", "field"])
-    stamps = once.where(F.col("field") == F.col("timestamp_column")).select("file_id", "line_no", F.expr("try_cast(text AS BIGINT)").alias("timestamp_ns"))
-    values = once.where(F.col("number").isNotNull()).select("file_id", "line_no", "field", "number", "text")
-
-    @F.pandas_udf("struct<metric: string, labels: string>")
+    over = Window.partitionBy("agent", "path", F.when(F.col("path").isNull(), F.col("file_id"))).orderBy("written_at", "arrived_at", "file_id")
+    placed = files.where(F.col("file_id").isNotNull()).select("file_id", "timestamp_column", _ignored().alias("ignored"), F.first("file_id").over(over).alias("source"), F.row_number().over(over).alias("delivery"))
+    stamp = F.expr("try_cast(try_cast(CAST(try_cast(p AS MAP<STRING, VARIANT>)[timestamp_column] AS STRING) AS DECIMAL(38,0)) AS BIGINT)")
+    skipped = F.array_compact(F.array_append(F.col("ignored"), F.col("timestamp_column")))
+    fields = payload_fields(records.join(placed, "file_id"), source=F.col("source"), delivery=F.col("delivery"), timestamp_ns=stamp, skipped=skipped)
+    values = fields.where(F.col("text").isNotNull() & ~F.array_contains("skipped", F.col("field"))).withColumn("listed", F.col("kind") == "list")
+    once = values.groupBy("source", "line_no", "timestamp_ns", "field", "text", "listed").agg(F.min("delivery").alias("delivery"))
+
+    @F.pandas_udf("struct<metric: string, labels: string, before: string, after: string>")
     def identity(origin: pd.Series, meta: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_identity(o, m) for o, m in zip(origin, meta, strict=True)], columns=["metric", "labels"])
-
-    known = named.where(F.col("cast") != "list").select("agent", "file_id", "field", "cast", identity("origin", "known_meta").alias("i"))
-    joined = values.join(known, ["file_id", "field"]).join(stamps, ["file_id", "line_no"])
-    exact = F.when(F.col("cast") == "whole", F.expr("try_cast(text AS DECIMAL(38,0))"))
-    return joined.select("agent", "file_id", "line_no", "timestamp_ns", F.col("i.metric").alias("__name__"), F.col("i.labels").alias("labels"), F.col("number").alias("value"), exact.alias("exact"))
+        return pd.DataFrame([_identity(o, m) for o, m in zip(origin, meta, strict=True)], columns=["metric", "labels", "before", "after"])
+
+    known = named.join(placed.select("file_id", "source", "delivery"), "file_id").select("source", "delivery", "agent", "file_id", "field", "cast", "unit", identity("origin", "known_meta").alias("i"))
+    items = F.when(F.col("listed"), F.from_json("text", "array<string>")).otherwise(F.array("text"))
+    joined = once.join(known, ["source", "delivery", "field"])
+    rows = joined.select("agent", "file_id", "line_no", "timestamp_ns", "cast", "unit", "i", "listed", F.posexplode(items).alias("at", "item")).where(F.col("item").isNotNull())
+    labels = F.when(F.col("listed"), F.concat("i.before", F.col("at").cast("string"), "i.after")).otherwise(F.col("i.labels"))
+    item, plain = F.col("item"), F.col("item").try_cast("double")
+    unit = F.regexp_extract("item", _NUMBER, 2)
+    value = F.coalesce(plain, F.when((unit == "") | F.coalesce(unit == F.col("unit"), F.lit(True)), _number(item)))
+    whole = F.coalesce(item.try_cast("decimal(38,0)"), F.regexp_extract("item", _NUMBER, 1).try_cast("decimal(38,0)"))
+    out = rows.select("agent", "file_id", "line_no", "timestamp_ns", F.col("i.metric").alias("__name__"), labels.alias("labels"), value.alias("value"), "cast", whole.alias("whole"), F.when(plain.isNull(), item).alias("text"))
+    exact = F.when((F.col("cast") == "whole") & F.col("value").isNotNull(), F.col("whole"))
+    return out.select("agent", "file_id", "line_no", "timestamp_ns", "__name__", "labels", "value", exact.alias("exact"), "text")

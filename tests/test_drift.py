@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from gridloom.operators.drift import long_table, match_renames, name_agreement, plain_name, schema_changes
+from gridloom.operators.drift import _identity, long_table, match_renames, name_agreement, plain_name, schema_changes
 
 FILES = "file_id long, agent string, path string, written_at timestamp_ntz, arrived_at timestamp_ntz, timestamp_column string, ignore_columns array<string>, header string, n long, field string"
 RECORDS = "record_id long, file_id long, line_no int, payload string, v string"
@@ -97,6 +97,40 @@ def test_whole_numbers_stay_exact(spark):
     assert rows["x", 1]["exact"] is None and rows["x", 2]["value"] == 1.5  # of a series that has decimals, no value is cast to a whole number
 
 
+def test_long_table_is_whole(spark):
+    volts = json.dumps([{"name": "v", "type": "string", "metadata": {"metric": "v", "unit": "volts"}}])
+    files = [(1, "a", "p", 1, "ts", ["skip", None], None), (2, "a", "p", 2, "ts", [], None), (3, None, "p", 1, "ts", [], volts), (4, "a", None, 5, None, [], None), (5, "a", None, 5, None, [], None)]
+    big = 2**64 - 3
+    records = [
+        (1, 1, f'{{"ts": 1, "w/io:buckets": [7, null, {big}], "mixed": 1, "n": "{big} count", "skip": 1}}'),
+        (1, None, {"ts": 2, "mixed": [2, 2.5, "3,5 ms", []], "r/0": "12,5", "s": "1.5e1 s"}),
+        (1, None, {"ts": 3, "mixed": 1, "r/0": "12.25 volts", "s": "1,234,567", "w/io:buckets": []}),
+        (2, 1, f'{{"skip": 1, "n": "{big} count", "mixed": 1, "w/io:buckets": [7, null, {big}], "ts": 1}}'),  # again, in another order
+        (2, 2, {"ts": "4", "n": 5}),  # only in the second delivery
+        (2, 3, {"ts": 5e18, "n": 6}),
+        (2, 4, {"ts": "soon", "n": 7}),
+        (3, 1, {"ts": 6, "v": "3 volts", "state": "open", "ok": True}),
+        (3, 2, {"ts": 7, "v": "4 mV"}),
+        (4, 1, {"n": 8}),
+        (5, 1, {"n": 8}),
+        (9, 1, {"ts": 1, "n": 9}),
+    ]
+    got = [(r["file_id"], r["timestamp_ns"], r["__name__"], r["labels"], r["value"], r["exact"], r["text"]) for r in long_table(*tables(spark, files, records)).collect()]
+    assert sorted(got, key=str) == sorted(
+        [
+            (1, 1, "w", '{"bucket": "0", "op": "io"}', 7.0, 7, None), (1, 1, "w", '{"bucket": "2", "op": "io"}', float(big), big, None), (1, 1, "n", "{}", float(big), big, f"{big} count"),
+            (1, 1, "mixed", "{}", 1.0, None, None), (1, 2, "mixed", '{"bucket": "0"}', 2.0, None, None), (1, 2, "mixed", '{"bucket": "1"}', 2.5, None, None),
+            (1, 2, "mixed", '{"bucket": "2"}', 3.5, None, "3,5 ms"), (1, 2, "mixed", '{"bucket": "3"}', None, None, "[]"), (1, 3, "mixed", "{}", 1.0, None, None),
+            (1, 2, "r", '{"op": "0"}', 12.5, None, "12,5"), (1, 3, "r", '{"op": "0"}', 12.25, None, "12.25 volts"), (1, 2, "s", "{}", 15.0, None, "1.5e1 s"), (1, 3, "s", "{}", None, None, "1,234,567"),
+            (2, 1, "skip", "{}", 1.0, 1, None), (2, 4, "n", "{}", 5.0, 5, None), (2, 5 * 10**18, "n", "{}", 6.0, 6, None), (2, None, "n", "{}", 7.0, 7, None),
+            (3, 6, "v", "{}", 3.0, 3, "3 volts"), (3, 7, "v", "{}", None, None, "4 mV"), (3, 6, "state", "{}", None, None, "open"), (3, 6, "ok", "{}", None, None, "true"),
+            (4, None, "n", "{}", 8.0, 8, None), (5, None, "n", "{}", 8.0, 8, None),
+        ],
+        key=str,
+    )
+    assert _identity("x/1", '{"metric": "m", "bucket": "b", "a": "1", "z": "2"}')[1:] == ('{"a": "1", "bucket": "b", "z": "2"}', '{"a": "1", "bucket": "b", "bucket_": "', '", "z": "2"}')
+
+
 def test_empty(drifting):
     files, records = drifting
     assert schema_changes(files.limit(0), records).count() == 0 and schema_changes(files, records.limit(0)).where("change_kind NOT LIKE 'label%'").count() == 0
